@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, collision, licenses, mtree, quality, sstable, toxicity
+from loomery.llm import bpe, collision, licenses, mtree, neardup, quality, sstable, toxicity
 from loomery.llm._common import table
 
 
@@ -50,6 +50,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn_labels(docs, table(spark, sf_dir, "labels")))
 
 
+
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
