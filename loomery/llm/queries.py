@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, collision, licenses, mtree, neardup, quality, sstable, toxicity
-from loomery.llm._common import table
+from loomery.llm import bpe, collision, licenses, mixing, mtree, neardup, quality, rollups, sstable, toxicity
+from loomery.llm._common import materialize, table
 
 
 def _tokenizer(name: str) -> str:
@@ -29,6 +29,27 @@ def op3_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents, two of them sent again: two tokenizer versions inserted, repeated texts deleted, one version revised."""
+    counts = rollups.latest(materialize(rollups.counted(table(spark, sf_dir, "documents")), "counts"))
+    copies = materialize(rollups.repeated(counts), "repeated")
+    rest = counts.join(copies.select("doc_id"), "doc_id", "left_anti")
+    batches = [
+        ("0001-words", rollups.events(counts, "words", "insert", "blank_words")),
+        ("0002-bytes", rollups.events(counts, "bytes", "insert", "bytes")),
+        ("0003-delete-copies", rollups.events(copies, "words", "delete", None).union(rollups.events(copies, "bytes", "delete", None))),
+        ("0004-revise-words", rollups.events(rest, "words", "revise", "plain_words")),
+    ]
+    store = rollups.RollupStore(spark)
+    for name, batch in [*batches, batches[1], batches[3]]:
+        store.commit(name, batch)
+    return store.totals()
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), mixing.domain_of(table(spark, sf_dir, "labels")), [0.85, 0.1, 0.05])
+
+
 def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return collision.nearest(rows, collision.every(rows, 20))
@@ -60,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mtree_topk": MTREE_SQL}
+    return {"op4_token_rollups": ROLLUP_SQL, "op8_mtree_topk": MTREE_SQL}
 
 
 MTREE_SQL = """
@@ -73,3 +94,17 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+ROLLUP_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, lang, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 AS is_copy
+    FROM documents WHERE doc_id IS NOT NULL
+), c AS (
+    SELECT source, lang, len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words, strlen(text) AS n_bytes
+    FROM d WHERE NOT is_copy
+)
+SELECT source, lang, 'words' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n_words)::BIGINT AS n_tokens FROM c GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'bytes', count(*)::BIGINT, sum(n_bytes)::BIGINT FROM c GROUP BY source, lang
+"""
