@@ -1,10 +1,718 @@
-"""Registered queries of the data-integration operators, and the SQL that checks them."""
+"""Registered queries of the data-integration operators over the driver's tables, and DuckDB SQL for the same results.
+
+Floats are rounded to six digits on both sides. Fixtures (mappings, dictionary, features) are literals in both engines.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomery.functions import stats, text
+from loomery.operators import relational
+from loomery.operators.cluster import component_clusters, least_parent_clusters
+from loomery.plans import learning, matching, resolution, serving
+from loomery.sources import eav
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+# Fixtures
+
+TABLES = ["customer", "supplier", "part", "orders"]
+#: Columns of the tables, in file order.
+COLUMNS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+}
+TEXT_COLUMNS = ["c_name", "c_nationkey", "c_mktsegment", "s_name", "s_nationkey", "p_name", "p_brand", "p_type", "p_size", "o_custkey", "o_orderstatus", "o_orderpriority"]
+NUMBER_COLUMNS = ["c_nationkey", "c_acctbal", "s_nationkey", "s_acctbal", "p_size", "p_retailprice", "o_custkey", "o_totalprice"]
+ATTRIBUTES = [(1, "name"), (2, "nation_key"), (3, "account_balance"), (4, "market_segment"), (5, "retail_price"), (6, "brand"), (7, "priority"), (8, "part_type")]
+#: local_id, global_id, confidence, authority
+MAPPINGS = [
+    (102, 1, 1.0, 1.0), (103, 2, 1.0, 0.5), (103, 2, 0.5, 0.5), (104, 3, 0.9, 1.0), (105, 4, 1.0, 1.0), (303, 6, 1.0, 0.8),
+    (304, 8, 1.0, 1.0), (306, 5, 1.0, 0.7), (404, 5, 0.4, 1.0), (202, 1, 0.6, 0.5), (406, 7, 1.0, 0.9), (406, 4, 0.3, -1.0), (105, 8, 0.3, 0.5),
+]
+#: What the fields really are, for evaluation.
+TRUTH = [(102, 1), (103, 2), (104, 3), (105, 4), (202, 1), (203, 2), (204, 3), (302, 1), (303, 6), (304, 8), (306, 5), (404, 5), (406, 7)]
+#: tag_id, t1, t2, f_given_m, f_given_u
+FEATURES = [
+    (1, None, None, 0.05, 0.05), (1, 0.0, 0.3, 0.02, 0.6), (1, 0.3, 0.6, 0.1, 0.3), (1, 0.6, 1.1, 0.85, 0.05),
+    (2, None, None, 0.1, 0.1), (2, -1e9, -50.0, 0.05, 0.95), (2, -50.0, 0.1, 0.9, 0.02), (3, None, None, 0.2, 0.3), (3, -1e9, -3.0, 0.3, 0.8), (3, -3.0, 0.1, 0.7, 0.2),
+]
+THRESHOLDS = [(1, "TEXT", 0.55), (2, "REAL", -50.0)]
+EST_DUP, CLUSTER_AT = 0.05, 0.6
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+def _grams_sql(expr: str, q: int = 3) -> str:
+    terms = f"list_filter(regexp_split_to_array(lower({expr}), '\\s+'), lambda t: t <> '')"
+    each = (
+        f"list_concat(list_concat([t[1:{q}] || '!', t[1:1] || '#'], CASE WHEN i < len({terms}) THEN [t[1:1] || ' ' || ({terms})[i + 1][1:1]] ELSE []::VARCHAR[] END), "
+        f"CASE WHEN len(t) >= {q} THEN list_transform(range(1, len(t) - {q - 2}), lambda p: substr(t, p, {q})) ELSE []::VARCHAR[] END)"
+    )
+    return f"flatten(list_transform({terms}, lambda t, i: {each}))"
+
+
+def _field(column: str) -> tuple[int, str]:
+    table = next(t for t, cs in COLUMNS.items() if column in cs)
+    return 100 * eav.SOURCES[table][0] + COLUMNS[table].index(column) + 1, table
+
+
+def _cells_sql(columns: list[str], kind: str) -> str:
+    parts = []
+    for c in columns:
+        field, table = _field(c)
+        source, key = eav.SOURCES[table]
+        parts.append(f"SELECT {field}::BIGINT AS field_id, ({source * 100_000_000} + {key})::BIGINT AS entity_id, CAST({c} AS {kind}) AS value FROM {table} WHERE {c} IS NOT NULL")
+    out = " UNION ALL ".join(parts)
+    return f"SELECT * FROM ({out}) WHERE value <> '' AND len(value) < {eav.LONGEST_VALUE}" if kind == "VARCHAR" else out
+
+
+TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+DICTIONARY_SQL = "SELECT 4::BIGINT AS global_id, 'MACHINERY' AS value UNION ALL SELECT 7, '5-LOW' UNION ALL SELECT 7, '1-URGENT' UNION ALL SELECT 6, 'Brand#1' UNION ALL SELECT 1, n_name FROM nation UNION ALL SELECT 8, 'PROMO'"
+
+#: Named parts of the SQL; sql() takes those that a query needs.
+CTES = {
+    "fields": _values([(100 * eav.SOURCES[t][0] + i, eav.SOURCES[t][0], c) for t in TABLES for i, c in enumerate(COLUMNS[t], 1)], "field_id, source_id, local_name"),
+    "attributes": _values(ATTRIBUTES, "global_id, name"),
+    "mappings": _values(MAPPINGS, "local_id, global_id, confidence, authority"),
+    "truth": _values(TRUTH, "field_id, global_id"),
+    "features": _values(FEATURES, "tag_id, t1, t2, f_given_m, f_given_u"),
+    "cells": _cells_sql(TEXT_COLUMNS, "VARCHAR"),
+    "numbers": _cells_sql(NUMBER_COLUMNS, "DOUBLE"),
+    "dictionary": DICTIONARY_SQL,
+    "affinity": "SELECT local_id, global_id, least(greatest(sum(confidence * authority), 0), 1) AS affinity FROM mappings GROUP BY ALL",
+    "n_attributes": "SELECT count(*) AS d FROM attributes",
+    "q_local_c": f"SELECT field_id, gram, count(*) AS c FROM (SELECT field_id, unnest({_grams_sql('local_name')}) AS gram FROM fields) GROUP BY ALL",
+    "q_own_c": f"SELECT global_id, gram, count(*) AS c FROM (SELECT global_id, unnest({_grams_sql('name')}) AS gram FROM attributes) GROUP BY ALL",
+    "q_mapped_c": "SELECT global_id, gram, sum(c * affinity) AS c FROM q_local_c JOIN affinity ON field_id = local_id GROUP BY ALL",
+    "q_global": "SELECT global_id, gram, ln(1 + c) AS tf FROM q_mapped_c UNION ALL SELECT o.global_id, o.gram, ln(1 + o.c) FROM q_own_c o WHERE NOT EXISTS (SELECT 1 FROM q_mapped_c m WHERE m.global_id = o.global_id AND m.gram = o.gram)",
+    "q_idf": "SELECT g.gram, coalesce(sqrt(ln(max(d) / nullif(count(DISTINCT k.global_id), 0))), sqrt(ln(max(d)))) AS idf FROM (SELECT gram FROM q_local_c UNION SELECT gram FROM q_global) g CROSS JOIN n_attributes LEFT JOIN q_global k ON k.gram = g.gram GROUP BY g.gram",
+    "q_lw": "SELECT field_id, gram, ln(1 + c) * idf AS w FROM q_local_c JOIN q_idf USING (gram)",
+    "q_gw": "SELECT global_id, gram, tf * idf AS w FROM q_global JOIN q_idf USING (gram)",
+    "q_scores": "SELECT l.field_id, g.global_id, sum(l.w * g.w) / (any_value(ln_.n) * any_value(gn.n)) AS score FROM q_lw l JOIN q_gw g USING (gram) JOIN (SELECT field_id, sqrt(sum(w * w)) AS n FROM q_lw GROUP BY 1) ln_ ON ln_.field_id = l.field_id JOIN (SELECT global_id, sqrt(sum(w * w)) AS n FROM q_gw GROUP BY 1) gn ON gn.global_id = g.global_id WHERE ln_.n > 0 AND gn.n > 0 GROUP BY 1, 2",
+    "m_values": "SELECT field_id, substr(value, 1, 1000) AS value, count(*) AS c FROM cells GROUP BY ALL",
+    "m_stats": "SELECT field_id, sum(c) AS n, sum(len(value) * c) / sum(c) AS avglen, max(len(value)) AS maxlen FROM m_values GROUP BY 1",
+    "m_dict": "SELECT global_id, value, least(1, sum(a)) AS aff FROM (SELECT global_id, value, affinity AS a FROM m_values JOIN affinity ON field_id = local_id WHERE affinity >= 0.5 UNION ALL SELECT DISTINCT global_id, value, 1.0::DOUBLE FROM dictionary) GROUP BY 1, 2",
+    "m_cards": "SELECT global_id, len(value) AS len, log2(sum(aff)) AS lg FROM m_dict GROUP BY 1, 2",
+    "m_matches": "SELECT field_id, global_id, len(v.value) AS len, sum(c * aff) AS card FROM m_values v JOIN m_dict d ON v.value = d.value GROUP BY 1, 2, 3",
+    "m_sums": "SELECT m.field_id, m.global_id, sum(card) / count(*) AS mean_card, sum(log2(card) + k.lg) AS bits FROM m_matches m JOIN m_cards k ON k.global_id = m.global_id GROUP BY 1, 2",
+    "m_scores": "SELECT s.field_id, s.global_id, greatest(0, 1 - ((mean_card / n) * log2(maxlen) + (1 - mean_card / n) * avglen * 8 + (mean_card / n) / n * bits) / (8 * avglen)) AS score FROM m_sums s JOIN m_stats t ON t.field_id = s.field_id",
+    "n_local_c": f"SELECT field_id, token, count(*) AS c FROM (SELECT field_id, unnest({TOKENS.format('value')}) AS token FROM cells) GROUP BY ALL",
+    "n_local": "SELECT field_id, token, c / sum(c) OVER (PARTITION BY field_id) AS tf FROM n_local_c",
+    "n_global_c": f"SELECT global_id, token, sum(c) AS c FROM (SELECT global_id, token, c * affinity AS c FROM n_local_c JOIN affinity ON field_id = local_id UNION ALL SELECT global_id, unnest({TOKENS.format('value')}), 1 FROM dictionary) GROUP BY 1, 2",
+    "n_global": "SELECT global_id, token, c / sum(c) OVER (PARTITION BY global_id) AS tf FROM n_global_c",
+    "n_idf": "SELECT token, sqrt(ln(max(d) / count(DISTINCT global_id))) AS idf FROM n_global CROSS JOIN n_attributes GROUP BY 1",
+    "n_lw": "SELECT field_id, token, tf * idf AS w FROM n_local JOIN n_idf USING (token)",
+    "n_gw": "SELECT global_id, token, tf * idf AS w FROM n_global JOIN n_idf USING (token)",
+    "n_scores": "SELECT l.field_id, g.global_id, sum(l.w * g.w) / (any_value(ln_.n) * any_value(gn.n)) AS score FROM n_lw l JOIN n_gw g USING (token) JOIN (SELECT field_id, sqrt(sum(w * w)) AS n FROM n_lw GROUP BY 1) ln_ ON ln_.field_id = l.field_id JOIN (SELECT global_id, sqrt(sum(w * w)) AS n FROM n_gw GROUP BY 1) gn ON gn.global_id = g.global_id WHERE ln_.n > 0 AND gn.n > 0 GROUP BY 1, 2",
+    "scores": "SELECT field_id, global_id, 'qgrams' AS method, round(score, 6) AS score FROM q_scores UNION ALL SELECT field_id, global_id, 'mdl', round(score, 6) FROM m_scores UNION ALL SELECT field_id, global_id, 'ngrams', round(score, 6) FROM n_scores",
+    "raw_best": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY field_id, method ORDER BY score DESC) AS r FROM scores) WHERE r = 1",
+    "ncomp": "SELECT field_id, global_id, sum(score * score) AS score FROM scores GROUP BY 1, 2",
+    # Resolution: suppliers, with name q-grams (tag 1), balance (2) and nation (3)
+    "er_names": "SELECT s_suppkey AS id, s_name AS value FROM supplier WHERE s_name IS NOT NULL",
+    "er_tokens": f"SELECT id, token, count(*) AS freq FROM (SELECT id, unnest({_grams_sql('value')}) AS token FROM er_names) WHERE trim(token) <> '' GROUP BY ALL",
+    "er_idf": "SELECT token, log10(n / count(*)) AS idf FROM er_tokens CROSS JOIN (SELECT count(DISTINCT id) AS n FROM er_names) GROUP BY token, n HAVING count(*) / n <= 0.1",
+    "er_w": "SELECT id, token, freq * idf / sqrt(sum((freq * idf) ** 2) OVER (PARTITION BY id)) AS w FROM er_tokens JOIN er_idf USING (token)",
+    "er_cos": "SELECT a.id AS id_a, b.id AS id_b, sum(a.w * b.w) AS score FROM er_w a JOIN er_w b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2",
+    "er_band": "SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, -abs(a.s_acctbal - b.s_acctbal) AS score FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 50",
+    "er_pairs": "SELECT id_a, id_b FROM er_cos WHERE score >= 0.55 UNION SELECT id_a, id_b FROM er_band",
+    "er_sims": "SELECT p.id_a, p.id_b, 1::BIGINT AS tag_id, coalesce(c.score, 0) AS score FROM er_pairs p LEFT JOIN er_cos c USING (id_a, id_b) UNION ALL SELECT p.id_a, p.id_b, 2, -abs(a.s_acctbal - b.s_acctbal) FROM er_pairs p JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b UNION ALL SELECT p.id_a, p.id_b, 3, -abs(a.s_nationkey - b.s_nationkey) FROM er_pairs p JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b",
+    "er_odds": "SELECT s.id_a, s.id_b, product(f.f_given_m / n.f_given_m) AS m, product(f.f_given_u / n.f_given_u) AS u FROM er_sims s JOIN features f ON f.tag_id = s.tag_id AND s.score >= f.t1 AND s.score < f.t2 JOIN features n ON n.tag_id = s.tag_id AND n.t1 IS NULL GROUP BY 1, 2",
+    "er_m": f"SELECT id_a, id_b, m * am * {EST_DUP} / (m * am * {EST_DUP} + u * au * {1 - EST_DUP}) AS m_prob FROM er_odds CROSS JOIN (SELECT product(f_given_m) AS am, product(f_given_u) AS au FROM features WHERE t1 IS NULL)",
+    "er_edges": f"SELECT id_a AS a, id_b AS b FROM er_m WHERE m_prob >= {CLUSTER_AT}",
+    "er_up": "SELECT s_suppkey AS node, least(s_suppkey, coalesce(min(a), s_suppkey)) AS parent FROM supplier LEFT JOIN er_edges ON b = s_suppkey GROUP BY 1",
+    "v0_tokens": f"SELECT id, token, log10(count(*) + 1) AS tf FROM (SELECT id, unnest({_grams_sql('value')}) AS token FROM er_names) GROUP BY ALL",
+    "v0_w": "SELECT id, token, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM v0_tokens",
+    "v0_cos": "SELECT a.id AS id_a, b.id AS id_b, sum(a.w * b.w) AS score FROM v0_w a JOIN v0_w b ON a.token = b.token AND a.id <> b.id GROUP BY 1, 2",
+    # Documents by source: the even half of the sources is there, the odd half arrives
+    "item_tokens": f"SELECT id, token, count(*) AS freq FROM (SELECT item_id AS id, unnest({TOKENS.format('text')}) AS token FROM benchmark) GROUP BY ALL",
+    "item_idf": "SELECT token, log10(n / count(*)) AS idf FROM item_tokens CROSS JOIN (SELECT count(*) AS n FROM benchmark) GROUP BY token, n HAVING count(*) / n <= 0.1",
+    "item_w": "SELECT id, token, freq * idf / sqrt(sum((freq * idf) ** 2) OVER (PARTITION BY id)) AS w FROM item_tokens JOIN item_idf USING (token)",
+}
+
+
+def sql(query: str) -> str:
+    """The query with the named parts that it needs, in their order."""
+    needed: set[str] = set()
+
+    def need(body: str) -> None:
+        for name in CTES:
+            if name not in needed and re.search(rf"\b{name}\b", body):
+                needed.add(name)
+                need(CTES[name])
+
+    need(query)
+    parts = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
+    return f"WITH {', '.join(parts)} {query}" if parts else query
+
+
+def register(name: str, query: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if query is not None:
+            ORACLE[name] = sql(query)
+        return f
+
+    return add
+
+
+# Inputs
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _fields(spark: SparkSession) -> DataFrame:
+    rows = [(100 * eav.SOURCES[t][0] + i, eav.SOURCES[t][0], c) for t in TABLES for i, c in enumerate(COLUMNS[t], 1)]
+    return spark.createDataFrame(rows, "field_id long, source_id long, local_name string")
+
+
+def _attributes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ATTRIBUTES, "global_id long, name string")
+
+
+def _mappings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MAPPINGS, "local_id long, global_id long, confidence double, authority double")
+
+
+def _features(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FEATURES, "tag_id long, t1 double, t2 double, f_given_m double, f_given_u double")
+
+
+def _thresholds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(THRESHOLDS, "tag_id long, type string, threshold double")
+
+
+def _cells(spark: SparkSession, sf: str, as_double: bool = False) -> DataFrame:
+    wanted, out = NUMBER_COLUMNS if as_double else TEXT_COLUMNS, None
+    for t in TABLES:
+        one = eav.cells(t, _table(spark, sf, t), wanted, as_double=as_double)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = spark.createDataFrame([(4, "MACHINERY"), (7, "5-LOW"), (7, "1-URGENT"), (6, "Brand#1"), (8, "PROMO")], "global_id long, value string")
+    return fixed.union(_table(spark, sf, "nation").select(F.lit(1).cast("long"), "n_name"))
+
+
+def _r(column: str, digits: int = 6):
+    return F.round(column, digits).alias(column)
+
+
+def _plain_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the three experts that SQL can follow, rounded so that ties are ties in both engines."""
+    fields, attributes, mappings, cells, dictionary = _fields(spark), _attributes(spark), _mappings(spark), _cells(spark, sf), _dictionary(spark, sf)
+    all_ = matching.qgrams_scores(fields, attributes, mappings).unionByName(matching.mdl_scores(cells, dictionary, fields, mappings))
+    all_ = all_.unionByName(matching.ngrams_scores(cells, dictionary, fields, attributes, mappings, tokens=text.word_tokens))
+    return all_.withColumn("score", F.round("score", 6))
+
+
+# Import and types
+
+
+@register("eav_import", "SELECT field_id, entity_id, value FROM cells")
+def eav_import(spark, sf):
+    return _cells(spark, sf).select("field_id", "entity_id", "value")
+
+
+@register("attr_types", f"SELECT field_id AS tag_id, count(*) AS n, count_if(regexp_full_match(value, '\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]{{1,3}})?\\s*'))::BIGINT AS n_numeric, CASE WHEN n_numeric / n > 0.9 THEN 'REAL' ELSE 'TEXT' END AS type FROM cells GROUP BY 1")
+def attr_types(spark, sf):
+    return resolution.attribute_types(_cells(spark, sf).withColumnRenamed("field_id", "tag_id"))
+
+
+@register("affinity", "SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity")
+def affinity(spark, sf):
+    return matching.affinities(_mappings(spark)).withColumn("affinity", _r("affinity"))
+
+
+@register("max_affinity", "SELECT local_id, global_id, round(affinity, 6) AS affinity FROM (SELECT *, rank() OVER (PARTITION BY local_id ORDER BY affinity DESC) AS r FROM affinity) WHERE r = 1")
+def max_affinity(spark, sf):
+    return matching.max_affinities(_mappings(spark)).withColumn("affinity", _r("affinity"))
+
+
+# Expert 1
+
+
+@register("qgrams_tokens", f"SELECT p_partkey AS id, gram, count(*) AS c FROM (SELECT p_partkey, unnest({_grams_sql('p_name')}) AS gram FROM part) GROUP BY ALL")
+def qgrams_tokens(spark, sf):
+    return matching.name_grams(_table(spark, sf, "part"), "p_partkey", "p_name").select("id", F.col("token").alias("gram"), "c")
+
+
+@register("qgrams_tf", "SELECT field_id AS id, gram, round(ln(1 + c), 6) AS tf FROM q_local_c")
+def qgrams_tf(spark, sf):
+    return matching.qgram_stages(_fields(spark), _attributes(spark), _mappings(spark))["local"].select("id", F.col("token").alias("gram"), _r("tf"))
+
+
+@register("qgrams_idf", "SELECT gram, round(sqrt(ln(max(d) / count(DISTINCT global_id))), 6) AS idf FROM q_global CROSS JOIN n_attributes GROUP BY gram")
+def qgrams_idf(spark, sf):
+    return matching.qgram_stages(_fields(spark), _attributes(spark), _mappings(spark))["idf"].select(F.col("token").alias("gram"), _r("idf"))
+
+
+@register("qgrams_cosine", "SELECT source_id, field_id, global_id, 'qgrams' AS method, round(score, 6) AS score FROM q_scores JOIN fields USING (field_id)")
+def qgrams_cosine(spark, sf):
+    """Which global attribute does each local column match by name? Column names are read from the tables themselves."""
+    fields = eav.fields(spark, {t: _table(spark, sf, t) for t in TABLES})
+    return matching.qgrams_scores(fields, _attributes(spark), _mappings(spark)).withColumn("score", _r("score"))
+
+
+@register("qgrams_unmapped", "SELECT source_id, field_id, global_id, 'qgrams' AS method, round(score, 6) AS score FROM q_scores JOIN fields USING (field_id) WHERE field_id NOT IN (SELECT local_id FROM mappings)")
+def qgrams_unmapped(spark, sf):
+    return matching.qgrams_scores(_fields(spark), _attributes(spark), _mappings(spark), unmapped=_mappings(spark)).withColumn("score", _r("score"))
+
+
+# Expert 2
+
+
+@register("mdl_dictionary", "SELECT global_id, value, round(aff, 6) AS aff FROM m_dict")
+def mdl_dictionary(spark, sf):
+    return matching.mdl_stages(_cells(spark, sf), _dictionary(spark, sf), _fields(spark), _mappings(spark))["dictionary"].withColumn("aff", _r("aff"))
+
+
+@register("mdl_score", "SELECT source_id, field_id, global_id, 'mdl' AS method, round(score, 6) AS score FROM m_scores JOIN fields USING (field_id)")
+def mdl_score(spark, sf):
+    return matching.mdl_scores(_cells(spark, sf), _dictionary(spark, sf), _fields(spark), _mappings(spark)).withColumn("score", _r("score"))
+
+
+@register("mdl_source", "SELECT source_id, field_id, global_id, 'mdl' AS method, round(score, 6) AS score FROM m_scores JOIN fields USING (field_id) WHERE source_id = 3")
+def mdl_source(spark, sf):
+    return matching.mdl_scores(_cells(spark, sf), _dictionary(spark, sf), _fields(spark), _mappings(spark), scope=F.col("source_id") == 3).withColumn("score", _r("score"))
+
+
+# Expert 3
+
+
+@register("ngrams_cosine_plain", "SELECT source_id, field_id, global_id, 'ngrams' AS method, round(score, 6) AS score FROM n_scores JOIN fields USING (field_id)")
+def ngrams_cosine_plain(spark, sf):
+    return matching.ngrams_scores(_cells(spark, sf), _dictionary(spark, sf), _fields(spark), _attributes(spark), _mappings(spark), tokens=text.word_tokens).withColumn("score", _r("score"))
+
+
+@register("ngrams_cosine_stem")
+def ngrams_cosine_stem(spark, sf):
+    """Stemmed tokens of conversations by role against the benchmark items' texts."""
+    conversations = _table(spark, sf, "conversations").select(F.when(F.col("role") == "user", 501).otherwise(502).cast("long").alias("field_id"), F.col("conv_id").alias("entity_id"), F.col("text").alias("value"))
+    dictionary = _table(spark, sf, "benchmark").select((F.col("item_id") % 2 + 1).alias("global_id"), F.col("text").alias("value"))
+    fields = spark.createDataFrame([(501, 5, "user_text"), (502, 5, "other_text")], "field_id long, source_id long, local_name string")
+    return matching.ngrams_scores(conversations, dictionary, fields, _attributes(spark), _mappings(spark)).withColumn("score", _r("score"))
+
+
+# Expert 4
+
+
+@register("dist_stats", "SELECT field_id, count(*) AS n, round(avg(value), 4) AS mean, round(var_samp(value), 2) AS variance FROM numbers GROUP BY 1 HAVING count(*) > 1")
+def dist_stats(spark, sf):
+    return matching.dist_stats(_cells(spark, sf, as_double=True)).select("field_id", "n", _r("mean", 4), _r("variance", 2))
+
+
+@register("dist_pvalue")
+def dist_pvalue(spark, sf):
+    return matching.dist_scores(_cells(spark, sf, as_double=True), _fields(spark), _mappings(spark)).withColumn("score", _r("score"))
+
+
+# Composites and evaluation
+
+
+@register("raw_max", "SELECT field_id, global_id, method, score FROM raw_best")
+def raw_max(spark, sf):
+    return matching.raw_max(_plain_scores(spark, sf)).select("field_id", "global_id", "method", "score")
+
+
+@register("ncomp", "SELECT field_id, global_id, round(score, 6) AS score FROM ncomp")
+def ncomp(spark, sf):
+    return matching.ncomp(_plain_scores(spark, sf), matching.default_methods(spark)).select("field_id", "global_id", _r("score"))
+
+
+@register("mcomp", "SELECT field_id, global_id, count(*)::DOUBLE AS score FROM raw_best GROUP BY 1, 2")
+def mcomp(spark, sf):
+    return matching.mcomp(_plain_scores(spark, sf), matching.default_methods(spark)).select("field_id", "global_id", "score")
+
+
+@register("features_pivot", "SELECT field_id, global_id, coalesce(max(score) FILTER (method = 'qgrams'), 0) AS qgrams, coalesce(max(score) FILTER (method = 'mdl'), 0) AS mdl, coalesce(max(score) FILTER (method = 'ngrams'), 0) AS ngrams, 0::DOUBLE AS dist FROM scores GROUP BY 1, 2")
+def features_pivot(spark, sf):
+    return matching.pair_features(_plain_scores(spark, sf))
+
+
+@register("error_rates", "SELECT method, count(*) AS n, count_if(global_id = true_id)::BIGINT AS n_right, count_if(global_id <> true_id)::BIGINT AS n_wrong, count_if(true_id IS NULL)::BIGINT AS n_unknown, round(n_right / n, 6) AS success_rate, round(n_wrong / n, 6) AS error_rate, round(n_right / nullif(n_wrong, 0), 6) AS ratio FROM (SELECT b.*, t.global_id AS true_id FROM raw_best b LEFT JOIN truth t ON t.field_id = b.field_id) GROUP BY method")
+def error_rates(spark, sf):
+    truth = spark.createDataFrame(TRUTH, "field_id long, global_id long")
+    x = matching.error_rates(matching.raw_max(_plain_scores(spark, sf)), truth, ["method"])
+    return x.withColumns({c: _r(c) for c in ("success_rate", "error_rate", "ratio")})
+
+
+PRF_SQL = """
+SELECT n_accepted, n_rejected, n_fp, n_fn, n_true, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM (
+    SELECT *, (n_accepted - n_fp) / nullif(n_accepted, 0) AS p, (n_accepted - n_fp) / nullif(n_true, 0) AS r FROM (
+        SELECT count_if(acc)::BIGINT AS n_accepted, count_if(NOT acc)::BIGINT AS n_rejected, count_if(acc AND NOT tru)::BIGINT AS n_fp, count_if(NOT acc AND tru)::BIGINT AS n_fn, count_if(tru)::BIGINT AS n_true
+        FROM (SELECT round(n.score, 6) >= 0.25 AS acc, t.field_id IS NOT NULL AS tru FROM ncomp n LEFT JOIN truth t ON t.field_id = n.field_id AND t.global_id = n.global_id)))
+"""
+
+
+@register("prf", PRF_SQL)
+def prf(spark, sf):
+    truth = spark.createDataFrame(TRUTH, "field_id long, global_id long").withColumn("t", F.lit(True))
+    x = matching.ncomp(_plain_scores(spark, sf), matching.default_methods(spark)).withColumn("score", F.round("score", 6)).join(truth, ["field_id", "global_id"], "left")
+    return matching.precision_recall(x, F.col("score") >= 0.25, F.coalesce("t", F.lit(False))).withColumns({c: _r(c) for c in ("precision", "recall", "f1")})
+
+
+@register("dectree")
+def dectree(spark, sf):
+    points = matching.labelled_features(_plain_scores(spark, sf), _mappings(spark))
+    return matching.decision_tree(points, points)
+
+
+@register("factor_names")
+def factor_names(spark, sf):
+    synonyms = spark.createDataFrame([(1, "name"), (2, "nation"), (3, "acct"), (4, "segment"), (5, "price"), (6, "brand"), (8, "type")], "global_id long, synonym string")
+    thesaurus = spark.createDataFrame([("mkt", "market"), ("retail", "sale"), ("key", "identifier"), ("bal", "balance")], "token string, term string")
+    return matching.factor_names(_fields(spark), _mappings(spark), synonyms, thesaurus)["gems"]
+
+
+# Resolution
+
+
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    s = _table(spark, sf, "supplier")
+    values = F.array(*[F.struct(F.lit(i).cast("long").alias("tag_id"), F.col(c).cast("string").alias("value")) for i, c in ((1, "s_name"), (2, "s_acctbal"), (3, "s_nationkey"))])
+    return s.select(F.col("s_suppkey").alias("entity_id"), F.explode(values).alias("c")).select("entity_id", "c.tag_id", "c.value").where("value IS NOT NULL")
+
+
+def _prepared(spark: SparkSession, sf: str) -> resolution.Prepared:
+    return resolution.prepare(_suppliers(spark, sf), tokens=text.qgrams)
+
+
+def _config() -> resolution.Config:
+    return resolution.Config(est_dup=EST_DUP, truncate_threshold=CLUSTER_AT)
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.self_join(_prepared(spark, sf), _features(spark), _thresholds(spark), _config())
+
+
+@register("value_prune", "SELECT p_partkey AS entity_id, p_type AS value FROM part WHERE p_type NOT IN (SELECT p_type FROM part GROUP BY 1 HAVING count(*) / (SELECT count(*) FROM part) > 0.17)")
+def value_prune(spark, sf):
+    data = _table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.lit(1).cast("long").alias("tag_id"), F.col("p_type").alias("value"))
+    return resolution.drop_common_values(data, resolution.tag_counts(data), resolution.value_counts(data), 0.17).select("entity_id", "value")
+
+
+@register("token_prune", "SELECT token, round(idf, 6) AS idf FROM er_idf")
+def token_prune(spark, sf):
+    data = resolution.joined_values(_suppliers(spark, sf).where("tag_id = 1"))
+    tokens = resolution.token_rows(data, resolution.attribute_types(data), text.qgrams)
+    counts = resolution.document_counts(tokens).join(resolution.tag_counts(data), "tag_id").where(F.col("doc_count") / F.col("tag_count") <= resolution.TOKEN_CUT)
+    return counts.select("token", F.round(F.log10(F.col("tag_count") / F.col("doc_count")), 6).alias("idf"))
+
+
+@register("er_tfidf", "SELECT id AS entity_id, token, round(w, 6) AS weight FROM item_w")
+def er_tfidf(spark, sf):
+    cells = _table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), F.lit(1).cast("long").alias("tag_id"), F.col("text").alias("value"))
+    return resolution.prepare(cells, tokens=text.word_tokens, value_cut=1.0).text.select("entity_id", "token", _r("weight"))
+
+
+@register("text_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.55")
+def text_candidates(spark, sf):
+    rows = _prepared(spark, sf).text
+    return resolution.text_candidates(rows, rows, _thresholds(spark).where("type = 'TEXT'").select("tag_id", "threshold")).select("id_a", "id_b", _r("score"))
+
+
+@register("prefix_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.55")
+def prefix_candidates(spark, sf):
+    rows = _prepared(spark, sf).text.withColumnRenamed("entity_id", "id")
+    return relational.prefix_cosine(rows, ["tag_id"], 0.55).select("id_a", "id_b", _r("score"))
+
+
+@register("band_candidates", "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b, round(abs(a.c_acctbal - b.c_acctbal), 4) AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 0.5")
+def band_candidates(spark, sf):
+    x = _table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return relational.band_join(x, x, 0.5, [], ordered=True).select("id_a", "id_b", F.round(F.abs(F.col("value_a") - F.col("value_b")), 4).alias("distance"))
+
+
+@register("pair_similarity", "SELECT id_a, id_b, tag_id, round(score, 6) AS score FROM er_sims")
+def pair_similarity(spark, sf):
+    p = _prepared(spark, sf)
+    pairs = _matches(spark, sf).select("id_a", "id_b")
+    return resolution.pair_similarities(pairs, p, p).select("id_a", "id_b", "tag_id", _r("score"))
+
+
+@register("zero_fill", "SELECT id_a, id_b, 1::BIGINT AS tag_id, 0::DOUBLE AS score FROM er_pairs EXCEPT SELECT id_a, id_b, 1, 0 FROM er_cos")
+def zero_fill(spark, sf):
+    p = _prepared(spark, sf)
+    pairs = _matches(spark, sf).select("id_a", "id_b")
+    one = p.text.withColumnRenamed("entity_id", "id")
+    found = relational.cosine(one, one, ["tag_id"], ordered=True)
+    return resolution.zero_fill(pairs, p.data, p.data, found, p.types.where("type = 'TEXT'"))
+
+
+@register("m_prob", "SELECT id_a, id_b, round(m_prob, 6) AS m_prob FROM er_m")
+def m_prob(spark, sf):
+    return _matches(spark, sf).select("id_a", "id_b", _r("m_prob"))
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _matches(spark, sf).where(F.col("m_prob") >= CLUSTER_AT).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+@register("cluster_min_parent", "SELECT node, min(root) AS cluster_id FROM (WITH RECURSIVE up(node, root) AS (SELECT node, parent FROM er_up UNION SELECT up.node, e.parent FROM up JOIN er_up e ON e.node = up.root) SELECT * FROM up) GROUP BY node")
+def cluster_min_parent(spark, sf):
+    return least_parent_clusters(_nodes(spark, sf), _edges(spark, sf)).select("node", "cluster_id")
+
+
+@register("cluster_components", "SELECT node, min(other) AS cluster_id FROM (WITH RECURSIVE reach(node, other) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, CASE WHEN e.a = r.other THEN e.b ELSE e.a END FROM reach r JOIN er_edges e ON e.a = r.other OR e.b = r.other) SELECT * FROM reach) GROUP BY node")
+def cluster_components(spark, sf):
+    return component_clusters(_nodes(spark, sf), _edges(spark, sf)).select("node", "cluster_id")
+
+
+TWO_WAY_SQL = f"""
+SELECT n.id AS id_a, o.id AS id_b, round(sum(n.w * o.w), 6) AS score FROM item_w n JOIN (
+    SELECT id, token, freq * idf / sqrt(sum((freq * idf) ** 2) OVER (PARTITION BY id)) AS w FROM (
+        SELECT doc_id AS id, token, count(*) AS freq FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL) JOIN item_idf USING (token)
+) o ON n.token = o.token GROUP BY 1, 2 HAVING sum(n.w * o.w) >= 0.3
+"""
+
+
+@register("two_way_candidates", TWO_WAY_SQL)
+def two_way_candidates(spark, sf):
+    """Benchmark items against documents, with the items' idf."""
+    item = lambda t, key: _table(spark, sf, t).select(F.col(key).alias("entity_id"), F.lit(1).cast("long").alias("tag_id"), F.col("text").alias("value"))
+    items = resolution.prepare(item("benchmark", "item_id"), tokens=text.word_tokens, value_cut=1.0)
+    tokens = resolution.token_rows(item("documents", "doc_id"), items.types, text.word_tokens)
+    docs = resolution.weigh(tokens, items.tags, items.documents)
+    at = spark.createDataFrame([(1, 0.3)], "tag_id long, threshold double")
+    return resolution.text_candidates(items.text, docs, at, ordered=False).select("id_a", "id_b", _r("score"))
+
+
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters by nation of the suppliers of even and odd keys, and match probabilities between the halves."""
+    x = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").cast("long").alias("cluster_id"), F.col("s_acctbal").alias("value"))
+    new, old = x.where("entity_id % 2 = 1"), x.where("entity_id % 2 = 0")
+    near = relational.band_join(new.withColumnRenamed("entity_id", "id"), old.withColumnRenamed("entity_id", "id"), 4000.0, [], ordered=False)
+    matches = near.select("id_a", "id_b", (1 - F.abs(F.col("value_a") - F.col("value_b")) / 4000.0).alias("m_prob"))
+    return new.drop("value"), old.drop("value"), matches
+
+
+LINKS_SQL = """
+WITH n AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS c, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 1), o AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS c, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 0),
+l AS (SELECT n.c AS new_cluster, o.c AS old_cluster, sum(greatest(0, CASE WHEN abs(n.v - o.v) <= 4000 THEN 1 - abs(n.v - o.v) / 4000.0 ELSE 0 END)) / ((SELECT count(*) FROM n x WHERE x.c = n.c) * (SELECT count(*) FROM o x WHERE x.c = o.c)) AS s FROM n JOIN o ON true GROUP BY n.c, o.c),
+k AS (SELECT new_cluster, old_cluster, round(s, 6) AS similarity FROM l WHERE s >= 0.45)
+"""
+
+
+@register("cluster_linkage", LINKS_SQL + "SELECT * FROM k")
+def cluster_linkage(spark, sf):
+    new, old, matches = _halves(spark, sf)
+    return resolution.linkage(matches, new, old, 0.45).select("new_cluster", "old_cluster", _r("similarity"))
+
+
+@register("incr_merge", LINKS_SQL + ", b AS (SELECT new_cluster, min(old_cluster) AS old_cluster FROM (SELECT *, rank() OVER (PARTITION BY new_cluster ORDER BY similarity DESC) AS r FROM k) WHERE r = 1 GROUP BY 1) SELECT id AS entity_id, c AS cluster_id FROM o UNION ALL SELECT id, coalesce(old_cluster, c) FROM n LEFT JOIN b ON new_cluster = c")
+def incr_merge(spark, sf):
+    new, old, matches = _halves(spark, sf)
+    links = resolution.linkage(matches, new, old, 0.45).withColumn("similarity", F.round("similarity", 6))
+    return resolution.merge_clusters(links, new, old)
+
+
+# Learning
+
+
+@register("random_sources", "SELECT source_id, n_values FROM (SELECT source AS source_id, count(*) AS n_values FROM documents GROUP BY 1) WHERE n_values <= 10000000 AND source_id <> 'src0' ORDER BY md5(source_id || '//7'), source_id LIMIT 5")
+def random_sources(spark, sf):
+    sources = _table(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("n_values"))
+    loaded = spark.createDataFrame([("src0",)], "source_id string")
+    return eav.random_sources(sources, loaded, 5, seed="/7")
+
+
+@register("random_pairs")
+def random_pairs(spark, sf):
+    return learning.random_pairs(_table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id")), n=2000)
+
+
+def _labelled_similarities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Balance and nation distances of supplier pairs: of one nation (as duplicates) and of any."""
+    s = _table(spark, sf, "supplier")
+    a, b = s.select(F.col("s_suppkey").alias("id_a"), F.col("s_acctbal").alias("va"), F.col("s_nationkey").alias("ka")), s.select(F.col("s_suppkey").alias("id_b"), F.col("s_acctbal").alias("vb"), F.col("s_nationkey").alias("kb"))
+    close = a.join(b, F.col("ka") == F.col("kb")).where("id_a < id_b")
+    width = F.floor(F.col("va") / 1000.0)
+    any_ = a.withColumn("cell", width).join(b.withColumn("cell", F.floor(F.col("vb") / 1000.0)), "cell").where("id_a < id_b")
+    score = (-F.abs(F.col("va") - F.col("vb"))).alias("score")
+    return close.select("id_a", "id_b", F.lit(1).cast("long").alias("tag_id"), score), any_.select("id_a", "id_b", F.lit(1).cast("long").alias("tag_id"), score)
+
+
+BINS_SQL = """
+WITH d AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+r AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000.0) = floor(b.s_acctbal / 1000.0) AND a.s_suppkey < b.s_suppkey),
+e AS (SELECT (SELECT min(s) FROM d) AS lo, greatest((SELECT max(s) FROM d), (SELECT max(s) FROM r)) AS hi, (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM r) AS nr),
+bins AS (SELECT lo + i * (hi + 1e-9 - lo) / 3 AS t1, CASE WHEN i = 2 THEN hi + 1e-9 ELSE lo + (i + 1) * (hi + 1e-9 - lo) / 3 END AS t2 FROM e, range(3) x(i)),
+f AS (SELECT t1, t2, greatest(1e-9, (SELECT count(*) FROM d WHERE s >= t1 AND s < t2) / nd) AS fm, (SELECT count(*) FROM r WHERE s >= t1 AND s < t2) / nr AS pf FROM bins, e)
+SELECT round(t1, 4) AS t1, round(t2, 4) AS t2, round(fm, 6) AS f_given_m, round(least(1, greatest(1e-9, (pf - fm * 1e-5) / (1 - 1e-5))), 6) AS f_given_u FROM f
+UNION ALL SELECT round((SELECT min(s) FROM r), 4), round(lo, 4), 0, round((SELECT count(*) FROM r WHERE s < lo) / nr / (1 - 1e-5), 6) FROM e WHERE (SELECT min(s) FROM r) < lo
+UNION ALL SELECT NULL, NULL, 0, 0
+"""
+
+
+@register("feature_bins", BINS_SQL)
+def feature_bins(spark, sf):
+    duplicates, random = _labelled_similarities(spark, sf)
+    x = learning.duplicate_features(duplicates, duplicates.count(), random, random.count())
+    return x.select(_r("t1", 4), _r("t2", 4), _r("f_given_m"), _r("f_given_u"))
+
+
+@register("question_bins", "WITH r AS (SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000.0) = floor(b.s_acctbal / 1000.0) AND a.s_suppkey < b.s_suppkey), e AS (SELECT min(s) AS lo, (max(s) + 1e-7 - min(s)) / 3 AS w FROM r) SELECT floor((s - lo) / w)::INT AS bin, count(*) AS n, round(any_value(lo + floor((s - lo) / w) * w), 4) AS range_start FROM r, e GROUP BY 1")
+def question_bins(spark, sf):
+    x = learning.question_bins(_labelled_similarities(spark, sf)[1])
+    return x.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.first("range_start"), 4).alias("range_start"))
+
+
+@register("questions")
+def questions(spark, sf):
+    return learning.questions(_labelled_similarities(spark, sf)[1])
+
+
+@register("learned_threshold")
+def learned_threshold(spark, sf):
+    duplicates, random = _labelled_similarities(spark, sf)
+    config = resolution.Config(rel_perf_threshold=0.5)
+    return learning.thresholds(duplicates, duplicates.count(), random, random.count(), config)
+
+
+# The older resolution
+
+
+@register("v0_cosine", "SELECT id_a, id_b, round(score, 6) AS score FROM v0_cos")
+def v0_cosine(spark, sf):
+    names = _suppliers(spark, sf).where("tag_id = 1")
+    return resolution.v0_field_similarities(resolution.v0_vectors(names)).select("id_a", "id_b", _r("score"))
+
+
+V0_WEIGHT = "SELECT 1::BIGINT AS tag_id, 10::DOUBLE AS initial_bias, round(10 * greatest(100 - n, 0) / 100 + m / u * least(n, 100) / 100, 6) AS weight FROM (SELECT count_if(is_m) AS n, coalesce(avg(score) FILTER (is_m), 1) AS m, coalesce(avg(score) FILTER (NOT is_m), 1) AS u FROM (SELECT score, a.s_nationkey = b.s_nationkey AS is_m FROM v0_cos JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b WHERE id_a < id_b))"
+
+
+def _v0(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    s = _table(spark, sf, "supplier")
+    sims = resolution.v0_field_similarities(resolution.v0_vectors(_suppliers(spark, sf).where("tag_id = 1")))
+    a, b = s.select(F.col("s_suppkey").alias("entity_a"), "s_nationkey"), s.select(F.col("s_suppkey").alias("entity_b"), "s_nationkey")
+    matches = a.join(b, "s_nationkey").where("entity_a < entity_b").select("entity_a", "entity_b")
+    start = resolution.v0_initial_weights(spark.createDataFrame([(1,)], "tag_id long"), F.lit(True), F.lit(False))
+    return sims, resolution.v0_learn_weights(sims, matches, start)
+
+
+@register("v0_weights", V0_WEIGHT)
+def v0_weights(spark, sf):
+    return _v0(spark, sf)[1].withColumn("weight", _r("weight"))
+
+
+@register("v0_similarity", "SELECT id_a, id_b, round(score, 6) AS similarity FROM v0_cos")
+def v0_similarity(spark, sf):
+    """With one attribute, the weights cancel."""
+    sims, weights = _v0(spark, sf)
+    sizes = _suppliers(spark, sf).where("tag_id = 1").select("entity_id", "tag_id")
+    return resolution.v0_similarities(sims, weights, sizes).select("id_a", "id_b", _r("similarity"))
+
+
+# Serving and functions
+
+
+HISTOGRAM_SQL = """
+WITH s AS (SELECT count(*) AS n, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders),
+e AS (SELECT ceil(sqrt(n))::INT AS k, greatest(a, m - 3 * sd) AS lo, least(b, m + 3 * sd) AS hi FROM s)
+SELECT bucket, count(*) AS n, round(any_value(lo + bucket * (hi - lo) / k), 2) AS low, round(any_value(lo + (bucket + 1) * (hi - lo) / k), 2) AS high
+FROM (SELECT CASE WHEN o_totalprice < lo THEN -1 WHEN o_totalprice > hi THEN k ELSE least(floor((o_totalprice - lo) / ((hi - lo) / k)), k - 1) END::INT AS bucket, lo, hi, k FROM orders, e) GROUP BY bucket
+"""
+
+
+@register("histogram", HISTOGRAM_SQL)
+def histogram(spark, sf):
+    return stats.histogram(_table(spark, sf, "orders"), "o_totalprice").select("bucket", "n", _r("low", 2), _r("high", 2))
+
+
+@register("field_candidates", "SELECT global_id, name, coalesce(round(score, 6), 0) AS score FROM attributes LEFT JOIN (SELECT global_id, score FROM ncomp WHERE field_id = 302) USING (global_id)")
+def field_candidates(spark, sf):
+    composite = matching.ncomp(_plain_scores(spark, sf), matching.default_methods(spark))
+    return serving.field_candidates(_attributes(spark), composite, 302).withColumn("score", _r("score"))
+
+
+@register("score_breakdown", "SELECT field_id, global_id, max(score) FILTER (method = 'qgrams') AS qgrams, max(score) FILTER (method = 'mdl') AS mdl, max(score) FILTER (method = 'ngrams') AS ngrams FROM scores GROUP BY 1, 2")
+def score_breakdown(spark, sf):
+    return serving.score_breakdown(_plain_scores(spark, sf), ["qgrams", "mdl", "ngrams"])
+
+
+@register("field_mappings", "SELECT f.field_id, local_name, coalesce(a.name, 'Unknown') AS match, coalesce(round(x.score, 6), 0) AS score, coalesce(is_mapping, false) AS is_mapping FROM fields f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY score DESC, global_id) AS r FROM (SELECT local_id AS field_id, global_id, 2.0 AS score, true AS is_mapping FROM affinity UNION ALL SELECT field_id, global_id, least(round(score, 6), 1.999999), false FROM ncomp)) x ON x.field_id = f.field_id AND r = 1 LEFT JOIN attributes a ON a.global_id = x.global_id")
+def field_mappings(spark, sf):
+    composite = matching.ncomp(_plain_scores(spark, sf), matching.default_methods(spark)).withColumn("score", F.round("score", 6))
+    return serving.field_mappings(_fields(spark), _mappings(spark), composite, _attributes(spark)).withColumn("score", _r("score"))
+
+
+@register("shared_values", "SELECT DISTINCT v.field_id, a.global_id, v.value FROM m_values v JOIN m_values k ON k.value = v.value AND k.field_id <> v.field_id JOIN affinity a ON a.local_id = k.field_id")
+def shared_values(spark, sf):
+    return serving.shared_values(_cells(spark, sf), _mappings(spark))
+
+
+@register("table_preview", "SELECT s_suppkey + 200000000 AS entity_id, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier ORDER BY md5((s_suppkey + 200000000)::VARCHAR || '/0'), 1 LIMIT 10")
+def table_preview(spark, sf):
+    cells = eav.cells("supplier", _table(spark, sf, "supplier"), ["s_name", "s_nationkey"])
+    return serving.table_preview(cells, {202: "name", 203: "nation"}, n=10, first=10_000_000)
+
+
+@register("source_fields", "SELECT field_id, local_name, n_values, n_distinct, round(avg_len, 6) AS avg_val_len, round(1 - n_distinct / n_values, 6) AS sort_factor FROM fields LEFT JOIN (SELECT field_id, count(*) AS n_values, count(DISTINCT value) AS n_distinct, avg(len(value)) AS avg_len FROM cells GROUP BY 1) USING (field_id)")
+def source_fields(spark, sf):
+    return serving.source_fields(_fields(spark), _cells(spark, sf)).select("field_id", "local_name", "n_values", "n_distinct", _r("avg_val_len"), _r("sort_factor"))
+
+
+@register("source_overview", "SELECT f.source_id, count(*) AS n_fields, count(m.local_id) AS n_mapped, max(v.n)::BIGINT AS n_values, round(count(m.local_id) / count(*), 6) AS ratio, count(*) = count(m.local_id) AS integrated FROM fields f LEFT JOIN (SELECT DISTINCT local_id FROM mappings) m ON m.local_id = f.field_id LEFT JOIN (SELECT field_id // 100 AS source_id, count(*) AS n FROM cells GROUP BY 1) v ON v.source_id = f.source_id GROUP BY 1")
+def source_overview(spark, sf):
+    fields = _fields(spark)
+    return serving.source_overview(fields.select("source_id").distinct(), fields, _mappings(spark), _cells(spark, sf)).withColumn("ratio", _r("ratio"))
+
+
+@register("entity_data", "SELECT c.entity_id, coalesce(g.name, f.local_name) AS name, c.value FROM cells c JOIN fields f USING (field_id) LEFT JOIN (SELECT local_id, a.name FROM (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY affinity DESC, global_id) AS r FROM affinity) x JOIN attributes a ON a.global_id = x.global_id WHERE r = 1) g ON g.local_id = c.field_id")
+def entity_data(spark, sf):
+    return serving.entity_data(_cells(spark, sf), _fields(spark), _mappings(spark), _attributes(spark))
+
+
+@register("recent_batches", "SELECT day, n, row_number() OVER (ORDER BY day)::INT AS batch FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1) ORDER BY day LIMIT 10")
+def recent_batches(spark, sf):
+    return serving.recent_batches(_table(spark, sf, "events"), F.to_date("ts"))
+
+
+@register("group_concat", "SELECT p_brand, string_agg(p_type, ',' ORDER BY p_type) AS types FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY 1")
+def group_concat(spark, sf):
+    return _table(spark, sf, "part").select("p_brand", "p_type").distinct().groupBy("p_brand").agg(stats.group_concat(F.col("p_type"), ",").alias("types"))
+
+
+@register("product", "SELECT l_linenumber, round(coalesce(product(1 + l_tax / 1000), 1), 4) AS p FROM lineitem WHERE l_orderkey < 100 GROUP BY 1")
+def product(spark, sf):
+    return _table(spark, sf, "lineitem").where("l_orderkey < 100").groupBy("l_linenumber").agg(F.round(stats.product(1 + F.col("l_tax") / 1000), 4).alias("p"))
+
+
+@register("prefixes", "SELECT DISTINCT p_type, unnest(list_transform(range(1, len(p_type) + 1), lambda n: substr(p_type, 1, n))) AS part FROM part")
+def prefixes(spark, sf):
+    return _table(spark, sf, "part").select("p_type").distinct().select("p_type", F.explode(text.prefixes("p_type")).alias("part"))
+
+
+@register("substrs", "SELECT DISTINCT p_type, substr(p_type, i, n) AS part FROM (SELECT DISTINCT p_type FROM part), range(1, 40) a(i), range(1, 40) b(n) WHERE i + n - 1 <= len(p_type)")
+def substrs(spark, sf):
+    return _table(spark, sf, "part").select("p_type").distinct().select("p_type", F.explode(text.substrs("p_type")).alias("part"))
+
+
+@register("dsubstrs")
+def dsubstrs(spark, sf):
+    return _fields(spark).select("field_id", F.explode(text.dsubstrs("local_name")).alias("part"))
+
+
+@register("remove_substrs", "SELECT DISTINCT p_name, regexp_replace(regexp_replace(p_name, 'ring', ''), 'red', '') AS rest FROM part")
+def remove_substrs(spark, sf):
+    needles = F.array(F.lit("Red"), F.lit("ring"))
+    return _table(spark, sf, "part").select("p_name").distinct().withColumn("rest", text.remove_substrs("p_name", needles))
