@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,10 @@ CACHE_ENTRIES = 600_000
 #: Marks that are a pretoken of their own behind letters.
 PLAIN_MARKS = frozenset(".,;:!?")
 END_ID = 1
+#: How byte-level pre-tokenizers write bytes as letters: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+PROBES = ["word", "Token", "stra\u00dfe", "\u00c9t\u00e9", "ma\u00f1ana", "na\u00efve", "aaaaaaaa", "\u00fcber\u00e4\u00f6\u00ff\u00b5\u00aa"]
 MANIFEST = "task long, shard long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -202,7 +207,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
+        self.pack = lambda ids: array("H" if self.id_bytes == 2 else "I", ids).tobytes()  # little-endian machines only
         self.known: dict[str, bytes] = {}
+        # A word of Latin letters passes the normalizer as its small letters and the pre-tokenizer whole; then the library's
+        # model can take it directly. PROBES show whether this file is of that kind.
+        self.model = self.tokenizer.model
+        self.direct = all(self.merged(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES)
+
+    def merged(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
@@ -220,9 +233,10 @@ class WordEncoder:
         split = {c: (c[:-1], c[-1]) if c[-1:] in PLAIN_MARKS and c[:-1].isalpha() else (c, "") for c in new}
         split = {c: (word.lower() if word.isascii() else word, mark) for c, (word, mark) in split.items()}
         todo = list({x for both in split.values() for x in both if x not in self.known})
-        kind = f"<u{self.id_bytes}"
-        known = self.known
-        known.update(zip(todo, [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]))
+        known, direct = self.known, {x for x in todo if self.direct and x.isalpha() and max(x) < "\u0100"}
+        known.update({x: self.pack(self.merged(x)) for x in direct})
+        todo = [x for x in todo if x not in direct]
+        known.update(zip(todo, [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]))
         known.update({c: known[word] + known[mark] for c, (word, mark) in split.items()})
 
 
