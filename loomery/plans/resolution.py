@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import stats, text
-from loomery.operators.cluster import component_clusters, least_parent_clusters
+from loomery.operators.cluster import component_clusters, least_parent_clusters, written
 from loomery.operators.relational import accumulate, band_join, best, cosine
 
 
@@ -105,14 +105,20 @@ class Prepared:
 
 
 def prepare(cells: DataFrame, before: Prepared | None = None, truncate: bool = True, tokens=text.bare_tokens, value_cut: float = VALUE_CUT, token_cut: float = TOKEN_CUT) -> Prepared:
-    """From mapped cells to weighted tokens and numbers. Earlier entities keep the weights of their time."""
-    data = joined_values(cells)
+    """From mapped cells to weighted tokens and numbers. Earlier entities keep the weights of their time.
+
+    What later joins read several times is written to the shared folder once.
+    """
+    data = written(joined_values(cells), "values")
     types = attribute_types(cells) if before is None else before.types
     tags, values = tag_counts(data, before and before.tags), value_counts(data, before and before.values)
     data = drop_common_values(data, tags, values, value_cut) if truncate else data
-    rows = token_rows(data, types, tokens)
+    types, tags = written(types, "types"), written(tags, "tags")
+    data = written(data, "data") if truncate else data
+    rows = written(token_rows(data, types, tokens), "tokens")
     documents = document_counts(rows, before and before.documents)
-    return Prepared(data, weigh(rows, tags, documents, token_cut if truncate else 1.0), real_values(data, types), types, tags, values, documents)
+    weighted = written(weigh(rows, tags, documents, token_cut if truncate else 1.0), "weights")
+    return Prepared(data, weighted, written(real_values(data, types), "reals"), types, tags, values, documents)
 
 
 # Similarity joins
@@ -181,14 +187,19 @@ def self_join(prepared: Prepared, features: DataFrame, thresholds: DataFrame, co
     return two_way_join(prepared, prepared, features, thresholds, config, ordered=True)
 
 
-def two_way_join(a: Prepared, b: Prepared, features: DataFrame, thresholds: DataFrame, config: Config = Config(), ordered: bool = False) -> DataFrame:
-    """The same between a batch and the entities before it. thresholds: tag_id, type, threshold; attributes without features are left out."""
+def candidate_pairs(a: Prepared, b: Prepared, features: DataFrame, thresholds: DataFrame, ordered: bool = False) -> DataFrame:
+    """id_a, id_b of the pairs that some attribute makes candidates. thresholds: tag_id, type, threshold; attributes without features are left out."""
     usable = thresholds.join(features.select("tag_id").distinct(), "tag_id", "left_semi")
     pairs = text_candidates(a.text, b.text, usable.where("type = 'TEXT'").select("tag_id", "threshold"), ordered).select("id_a", "id_b")
     bands = [(r.tag_id, r.threshold) for r in usable.where("type = 'REAL'").orderBy("tag_id").collect()]  # a row per attribute
     if bands:
         pairs = pairs.unionByName(real_candidates(a.real, b.real, bands, ordered).select("id_a", "id_b"))
-    pairs = pairs.distinct()
+    return written(pairs.distinct(), "pairs")
+
+
+def two_way_join(a: Prepared, b: Prepared, features: DataFrame, thresholds: DataFrame, config: Config = Config(), ordered: bool = False) -> DataFrame:
+    """The same between a batch and the entities before it."""
+    pairs = candidate_pairs(a, b, features, thresholds, ordered)
     return match_probability(pairs, pair_similarities(pairs, a, b), features, config.est_dup)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import stats, text
 from loomery.operators import relational
-from loomery.operators.cluster import component_clusters, least_parent_clusters
+from loomery.operators.cluster import component_clusters, least_parent_clusters, written
 from loomery.plans import learning, matching, resolution, serving
 from loomery.sources import eav
 
@@ -42,11 +42,11 @@ MAPPINGS = [
 TRUTH = [(102, 1), (103, 2), (104, 3), (105, 4), (202, 1), (203, 2), (204, 3), (302, 1), (303, 6), (304, 8), (306, 5), (404, 5), (406, 7)]
 #: tag_id, t1, t2, f_given_m, f_given_u
 FEATURES = [
-    (1, None, None, 0.05, 0.05), (1, 0.0, 0.3, 0.02, 0.6), (1, 0.3, 0.6, 0.1, 0.3), (1, 0.6, 1.1, 0.85, 0.05),
+    (1, None, None, 0.05, 0.05), (1, 0.0, 0.1, 0.02, 0.6), (1, 0.1, 0.3, 0.2, 0.3), (1, 0.3, 1.1, 0.75, 0.05),
     (2, None, None, 0.1, 0.1), (2, -1e9, -50.0, 0.05, 0.95), (2, -50.0, 0.1, 0.9, 0.02), (3, None, None, 0.2, 0.3), (3, -1e9, -3.0, 0.3, 0.8), (3, -3.0, 0.1, 0.7, 0.2),
 ]
-THRESHOLDS = [(1, "TEXT", 0.55), (2, "REAL", -50.0)]
-EST_DUP, CLUSTER_AT = 0.05, 0.6
+THRESHOLDS = [(1, "TEXT", 0.15), (2, "REAL", -50.0)]
+EST_DUP, CLUSTER_AT, TOKEN_CUT = 0.05, 0.6, 0.2
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -122,11 +122,11 @@ CTES = {
     # Resolution: suppliers, with name q-grams (tag 1), balance (2) and nation (3)
     "er_names": "SELECT s_suppkey AS id, s_name AS value FROM supplier WHERE s_name IS NOT NULL",
     "er_tokens": f"SELECT id, token, count(*) AS freq FROM (SELECT id, unnest({_grams_sql('value')}) AS token FROM er_names) WHERE trim(token) <> '' GROUP BY ALL",
-    "er_idf": "SELECT token, log10(n / count(*)) AS idf FROM er_tokens CROSS JOIN (SELECT count(DISTINCT id) AS n FROM er_names) GROUP BY token, n HAVING count(*) / n <= 0.1",
+    "er_idf": "SELECT token, log10(n / count(*)) AS idf FROM er_tokens CROSS JOIN (SELECT count(DISTINCT id) AS n FROM er_names) GROUP BY token, n HAVING count(*) / n <= 0.2",
     "er_w": "SELECT id, token, freq * idf / sqrt(sum((freq * idf) ** 2) OVER (PARTITION BY id)) AS w FROM er_tokens JOIN er_idf USING (token)",
     "er_cos": "SELECT a.id AS id_a, b.id AS id_b, sum(a.w * b.w) AS score FROM er_w a JOIN er_w b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2",
     "er_band": "SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, -abs(a.s_acctbal - b.s_acctbal) AS score FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 50",
-    "er_pairs": "SELECT id_a, id_b FROM er_cos WHERE score >= 0.55 UNION SELECT id_a, id_b FROM er_band",
+    "er_pairs": "SELECT id_a, id_b FROM er_cos WHERE score >= 0.15 UNION SELECT id_a, id_b FROM er_band",
     "er_sims": "SELECT p.id_a, p.id_b, 1::BIGINT AS tag_id, coalesce(c.score, 0) AS score FROM er_pairs p LEFT JOIN er_cos c USING (id_a, id_b) UNION ALL SELECT p.id_a, p.id_b, 2, -abs(a.s_acctbal - b.s_acctbal) FROM er_pairs p JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b UNION ALL SELECT p.id_a, p.id_b, 3, -abs(a.s_nationkey - b.s_nationkey) FROM er_pairs p JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b",
     "er_odds": "SELECT s.id_a, s.id_b, product(f.f_given_m / n.f_given_m) AS m, product(f.f_given_u / n.f_given_u) AS u FROM er_sims s JOIN features f ON f.tag_id = s.tag_id AND s.score >= f.t1 AND s.score < f.t2 JOIN features n ON n.tag_id = s.tag_id AND n.t1 IS NULL GROUP BY 1, 2",
     "er_m": f"SELECT id_a, id_b, m * am * {EST_DUP} / (m * am * {EST_DUP} + u * au * {1 - EST_DUP}) AS m_prob FROM er_odds CROSS JOIN (SELECT product(f_given_m) AS am, product(f_given_u) AS au FROM features WHERE t1 IS NULL)",
@@ -217,7 +217,7 @@ def _plain_scores(spark: SparkSession, sf: str) -> DataFrame:
     fields, attributes, mappings, cells, dictionary = _fields(spark), _attributes(spark), _mappings(spark), _cells(spark, sf), _dictionary(spark, sf)
     all_ = matching.qgrams_scores(fields, attributes, mappings).unionByName(matching.mdl_scores(cells, dictionary, fields, mappings))
     all_ = all_.unionByName(matching.ngrams_scores(cells, dictionary, fields, attributes, mappings, tokens=text.word_tokens))
-    return all_.withColumn("score", F.round("score", 6))
+    return written(all_.withColumn("score", F.round("score", 6)), "raw-results")
 
 
 # Import and types
@@ -389,7 +389,7 @@ def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> resolution.Prepared:
-    return resolution.prepare(_suppliers(spark, sf), tokens=text.qgrams)
+    return resolution.prepare(_suppliers(spark, sf), tokens=text.qgrams, token_cut=TOKEN_CUT)
 
 
 def _config() -> resolution.Config:
@@ -410,7 +410,7 @@ def value_prune(spark, sf):
 def token_prune(spark, sf):
     data = resolution.joined_values(_suppliers(spark, sf).where("tag_id = 1"))
     tokens = resolution.token_rows(data, resolution.attribute_types(data), text.qgrams)
-    counts = resolution.document_counts(tokens).join(resolution.tag_counts(data), "tag_id").where(F.col("doc_count") / F.col("tag_count") <= resolution.TOKEN_CUT)
+    counts = resolution.document_counts(tokens).join(resolution.tag_counts(data), "tag_id").where(F.col("doc_count") / F.col("tag_count") <= TOKEN_CUT)
     return counts.select("token", F.round(F.log10(F.col("tag_count") / F.col("doc_count")), 6).alias("idf"))
 
 
@@ -420,16 +420,16 @@ def er_tfidf(spark, sf):
     return resolution.prepare(cells, tokens=text.word_tokens, value_cut=1.0).text.select("entity_id", "token", _r("weight"))
 
 
-@register("text_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.55")
+@register("text_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.15")
 def text_candidates(spark, sf):
     rows = _prepared(spark, sf).text
     return resolution.text_candidates(rows, rows, _thresholds(spark).where("type = 'TEXT'").select("tag_id", "threshold")).select("id_a", "id_b", _r("score"))
 
 
-@register("prefix_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.55")
+@register("prefix_candidates", "SELECT id_a, id_b, round(score, 6) AS score FROM er_cos WHERE score >= 0.15")
 def prefix_candidates(spark, sf):
     rows = _prepared(spark, sf).text.withColumnRenamed("entity_id", "id")
-    return relational.prefix_cosine(rows, ["tag_id"], 0.55).select("id_a", "id_b", _r("score"))
+    return relational.prefix_cosine(rows, ["tag_id"], 0.15).select("id_a", "id_b", _r("score"))
 
 
 @register("band_candidates", "SELECT a.c_custkey AS id_a, b.c_custkey AS id_b, round(abs(a.c_acctbal - b.c_acctbal), 4) AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 0.5")
@@ -441,14 +441,14 @@ def band_candidates(spark, sf):
 @register("pair_similarity", "SELECT id_a, id_b, tag_id, round(score, 6) AS score FROM er_sims")
 def pair_similarity(spark, sf):
     p = _prepared(spark, sf)
-    pairs = _matches(spark, sf).select("id_a", "id_b")
+    pairs = resolution.candidate_pairs(p, p, _features(spark), _thresholds(spark), ordered=True)
     return resolution.pair_similarities(pairs, p, p).select("id_a", "id_b", "tag_id", _r("score"))
 
 
 @register("zero_fill", "SELECT id_a, id_b, 1::BIGINT AS tag_id, 0::DOUBLE AS score FROM er_pairs EXCEPT SELECT id_a, id_b, 1, 0 FROM er_cos")
 def zero_fill(spark, sf):
     p = _prepared(spark, sf)
-    pairs = _matches(spark, sf).select("id_a", "id_b")
+    pairs = resolution.candidate_pairs(p, p, _features(spark), _thresholds(spark), ordered=True)
     one = p.text.withColumnRenamed("entity_id", "id")
     found = relational.cosine(one, one, ["tag_id"], ordered=True)
     return resolution.zero_fill(pairs, p.data, p.data, found, p.types.where("type = 'TEXT'"))
@@ -500,14 +500,14 @@ def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Clusters by nation of the suppliers of even and odd keys, and match probabilities between the halves."""
     x = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").cast("long").alias("cluster_id"), F.col("s_acctbal").alias("value"))
     new, old = x.where("entity_id % 2 = 1"), x.where("entity_id % 2 = 0")
-    near = relational.band_join(new.withColumnRenamed("entity_id", "id"), old.withColumnRenamed("entity_id", "id"), 4000.0, [], ordered=False)
-    matches = near.select("id_a", "id_b", (1 - F.abs(F.col("value_a") - F.col("value_b")) / 4000.0).alias("m_prob"))
+    near = relational.band_join(new.withColumnRenamed("entity_id", "id"), old.withColumnRenamed("entity_id", "id"), 3973.0, [], ordered=False)
+    matches = near.select("id_a", "id_b", (1 - F.abs(F.col("value_a") - F.col("value_b")) / 3973.0).alias("m_prob"))
     return new.drop("value"), old.drop("value"), matches
 
 
 LINKS_SQL = """
 WITH n AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS c, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 1), o AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS c, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 0),
-l AS (SELECT n.c AS new_cluster, o.c AS old_cluster, sum(greatest(0, CASE WHEN abs(n.v - o.v) <= 4000 THEN 1 - abs(n.v - o.v) / 4000.0 ELSE 0 END)) / ((SELECT count(*) FROM n x WHERE x.c = n.c) * (SELECT count(*) FROM o x WHERE x.c = o.c)) AS s FROM n JOIN o ON true GROUP BY n.c, o.c),
+l AS (SELECT n.c AS new_cluster, o.c AS old_cluster, sum(greatest(0, CASE WHEN abs(n.v - o.v) <= 3973 THEN 1 - abs(n.v - o.v) / 3973.0 ELSE 0 END)) / ((SELECT count(*) FROM n x WHERE x.c = n.c) * (SELECT count(*) FROM o x WHERE x.c = o.c)) AS s FROM n JOIN o ON true GROUP BY n.c, o.c),
 k AS (SELECT new_cluster, old_cluster, round(s, 6) AS similarity FROM l WHERE s >= 0.45)
 """
 
@@ -666,9 +666,9 @@ def table_preview(spark, sf):
     return serving.table_preview(cells, {202: "name", 203: "nation"}, n=10, first=10_000_000)
 
 
-@register("source_fields", "SELECT field_id, local_name, n_values, n_distinct, round(avg_len, 6) AS avg_val_len, round(1 - n_distinct / n_values, 6) AS sort_factor FROM fields LEFT JOIN (SELECT field_id, count(*) AS n_values, count(DISTINCT value) AS n_distinct, avg(len(value)) AS avg_len FROM cells GROUP BY 1) USING (field_id)")
+@register("source_fields", "SELECT field_id, local_name, n_values, n_distinct, round(avg_len, 6) AS avg_val_len, round(1 - n_distinct / n_values, 6) AS sort_factor FROM fields JOIN (SELECT field_id, count(*) AS n_values, count(DISTINCT value) AS n_distinct, avg(len(value)) AS avg_len FROM cells GROUP BY 1) USING (field_id)")
 def source_fields(spark, sf):
-    return serving.source_fields(_fields(spark), _cells(spark, sf)).select("field_id", "local_name", "n_values", "n_distinct", _r("avg_val_len"), _r("sort_factor"))
+    return serving.source_fields(_fields(spark), _cells(spark, sf)).where("n_values IS NOT NULL").select("field_id", "local_name", "n_values", "n_distinct", _r("avg_val_len"), _r("sort_factor"))
 
 
 @register("source_overview", "SELECT f.source_id, count(*) AS n_fields, count(m.local_id) AS n_mapped, max(v.n)::BIGINT AS n_values, round(count(m.local_id) / count(*), 6) AS ratio, count(*) = count(m.local_id) AS integrated FROM fields f LEFT JOIN (SELECT DISTINCT local_id FROM mappings) m ON m.local_id = f.field_id LEFT JOIN (SELECT field_id // 100 AS source_id, count(*) AS n FROM cells GROUP BY 1) v ON v.source_id = f.source_id GROUP BY 1")
@@ -682,9 +682,9 @@ def entity_data(spark, sf):
     return serving.entity_data(_cells(spark, sf), _fields(spark), _mappings(spark), _attributes(spark))
 
 
-@register("recent_batches", "SELECT day, n, row_number() OVER (ORDER BY day)::INT AS batch FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1) ORDER BY day LIMIT 10")
+@register("recent_batches", "SELECT day, n, row_number() OVER (ORDER BY day)::INT AS batch FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) ORDER BY day LIMIT 10")
 def recent_batches(spark, sf):
-    return serving.recent_batches(_table(spark, sf, "events"), F.to_date("ts"))
+    return serving.recent_batches(_table(spark, sf, "events"), F.date_format("ts", "yyyy-MM-dd"))
 
 
 @register("group_concat", "SELECT p_brand, string_agg(p_type, ',' ORDER BY p_type) AS types FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY 1")
