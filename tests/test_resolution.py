@@ -156,18 +156,18 @@ def test_resolving_sources_one_after_the_other(spark, model):
 def test_streaming_resolution(spark, model, tmp_path):
     source = tmp_path / "cells"
     rows = lambda r: spark.createDataFrame(r, "entity_id long, tag_id long, value string").coalesce(1)
-    rows([(i, 1, f"name{i} street{i} town{i}") for i in range(1, 15)]).write.parquet(str(source / "a"))
+    rows([(i, 1, f"name{i} street{i} town{i}") for i in range(1, 40)]).write.parquet(str(source / "a"))
     state = incremental.ResolutionState(spark, f"file://{tmp_path}/state")
     stream = lambda: spark.readStream.schema("entity_id long, tag_id long, value string").option("recursiveFileLookup", "true").parquet(str(source))
     run = lambda: incremental.start(stream(), state, f"{tmp_path}/checkpoint", *model, tokens=text.word_tokens).awaitTermination()
     run()
-    rows([(20, 1, "name4 street4 town4")]).write.parquet(str(source / "b"))
+    rows([(90, 1, "name4 street4 town4")]).write.parquet(str(source / "b"))
     run()
     run()  # nothing new
     _, found = state.load()
-    assert {r.entity_id: r.cluster_id for r in found.collect()}[20] == 4 and found.count() == 15
+    assert {r.entity_id: r.cluster_id for r in found.collect()}[90] == 4 and found.count() == 40
     incremental.resolve_batch(state, *model, tokens=text.word_tokens)(rows([(99, 1, "x")]), 0)  # a batch from before
-    assert state.load()[1].count() == 15
+    assert state.load()[1].count() == 40
 
 
 def test_learning_from_duplicates(spark):
