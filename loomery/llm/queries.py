@@ -81,9 +81,65 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_token_rollups": ROLLUP_SQL, "op8_mtree_topk": MTREE_SQL}
+    return {"op2_license_scan": license_sql(), "op4_token_rollups": ROLLUP_SQL, "op8_mtree_topk": MTREE_SQL, "op10_dart_minhash": NEARDUP_SQL}
+
+
+#: Whole texts as words: ASCII capitals become small, all ASCII but letters and digits parts words.
+WORDS_SQL = r"""
+words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+)"""
+
+
+def license_sql() -> str:
+    """Every window of every template, by a join of the template words' places with themselves."""
+    wanted = licenses.templates(licenses.BASE_PHRASES, licenses.TEMPLATES, licenses.THRESHOLD)
+    heads = ", ".join(f"({i}, '{t.label}', {t.phrase}, {t.span}, {t.least}, {len(set(t.words))}, '{b' '.join(t.words).decode()}')" for i, t in enumerate(wanted))
+    each = ", ".join(f"({i}, '{w.decode()}')" for i, t in enumerate(wanted) for w in sorted(set(t.words)))
+    return f"""
+WITH {WORDS_SQL},
+t(tid, label, phrase, span, least, size, said) AS (VALUES {heads}),
+tw(tid, word) AS (VALUES {each}),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM words),
+hits AS MATERIALIZED (SELECT doc_id, tid, pos, word FROM places JOIN tw USING (word)),
+blocks AS (
+    SELECT a.doc_id, a.tid, a.pos, count(DISTINCT b.word) AS n
+    FROM hits a JOIN t USING (tid) JOIN hits b ON b.doc_id = a.doc_id AND b.tid = a.tid AND b.pos >= a.pos AND b.pos < a.pos + t.span
+    GROUP BY a.doc_id, a.tid, a.pos, t.least HAVING count(DISTINCT b.word) >= t.least
+),
+found AS (
+    SELECT doc_id, pos, label, phrase, n / size AS share FROM blocks JOIN t USING (tid) JOIN words USING (doc_id)
+    WHERE NOT phrase OR array_to_string(ws[pos + 1:pos + span], ' ') = said
+),
+per AS (
+    SELECT doc_id, count_if(phrase)::BIGINT AS n_base, min(pos) FILTER (phrase) AS first_word, max(pos) FILTER (phrase) AS last_word,
+        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+    FROM found GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM words w LEFT JOIN per USING (doc_id)
+"""
 
 
+NEARDUP_SQL = f"""
+WITH RECURSIVE {WORDS_SQL},
+s AS MATERIALIZED (
+    SELECT doc_id, array_to_string(ws, ' ') AS plain, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) END AS shingles FROM words
+),
+c AS MATERIALIZED (SELECT doc_id, shingle, count(*) AS n FROM (SELECT doc_id, unnest(shingles) AS shingle FROM s) GROUP BY ALL),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+    SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE shared >= 0.8 * (len(x.shingles) + len(y.shingles) - shared) - 1e-9
+    UNION SELECT x.doc_id, y.doc_id FROM s x JOIN s y ON x.plain = y.plain AND x.doc_id <> y.doc_id
+),
+reach(node, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, class_id, copies, s.doc_id = class_id AS kept
+FROM s JOIN (SELECT node, min(other) AS class_id FROM reach GROUP BY node) ON node = s.doc_id JOIN (SELECT plain, count(*) AS copies FROM s GROUP BY plain) p ON p.plain = s.plain
+"""
+
 MTREE_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
