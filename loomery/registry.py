@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomery.functions import stats, text
 from loomery.operators import relational
 from loomery.operators.cluster import component_clusters, least_parent_clusters, written
-from loomery.plans import learning, matching, resolution, serving
+from loomery.plans import jobs, learning, matching, resolution, serving
 from loomery.sources import eav
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,6 +372,29 @@ def dectree(spark, sf):
     return matching.decision_tree(points, points)
 
 
+@register("schema_map")
+def schema_map(spark, sf):
+    """All four experts over all fields, and the best match of each by the composite."""
+    cells = _cells(spark, sf).unionByName(_cells(spark, sf, as_double=True).where(F.col("field_id").isin(104, 204, 306, 404)).withColumn("value", F.col("value").cast("string")))
+    found = jobs.schema_map(_fields(spark), cells, _dictionary(spark, sf), _attributes(spark), _mappings(spark), tokens=text.word_tokens)
+    return found["best"].withColumn("score", _r("score"))
+
+
+@register("weight_search")
+def weight_search(spark, sf):
+    truth = spark.createDataFrame(TRUTH, "field_id long, global_id long")
+    return jobs.random_weight_search(_plain_scores(spark, sf), truth)
+
+
+@register("v0_dedup")
+def v0_dedup(spark, sf):
+    """Suppliers by all attributes, with weights learned from suppliers of one nation and balance range."""
+    s = _table(spark, sf, "supplier").withColumn("cell", F.floor(F.col("s_acctbal") / 500.0))
+    a, b = s.select(F.col("s_suppkey").alias("entity_a"), "s_nationkey", "cell"), s.select(F.col("s_suppkey").alias("entity_b"), "s_nationkey", "cell")
+    matches = a.join(b, ["s_nationkey", "cell"]).where("entity_a < entity_b").select("entity_a", "entity_b")
+    return jobs.dedup_all(_suppliers(spark, sf), matches, important=F.col("tag_id") == 1)[0].withColumn("similarity", _r("similarity"))
+
+
 @register("factor_names")
 def factor_names(spark, sf):
     synonyms = spark.createDataFrame([(1, "name"), (2, "nation"), (3, "acct"), (4, "segment"), (5, "price"), (6, "brand"), (8, "type")], "global_id long, synonym string")

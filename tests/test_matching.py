@@ -133,3 +133,25 @@ def test_import(spark):
     words.createOrReplaceTempView("some_words")
     assert eav.table_exists(spark, "some_words") and eav.view_exists(spark, "some_words") and not eav.table_exists(spark, "no_words")
     assert eav.table_attributes(spark, "some_words") == ["a", "b"] and "some_words" in eav.schema_tables(spark) and eav.schema_exists(spark, "default")
+
+
+def test_jobs(spark, none):
+    from loomery.plans import jobs
+
+    cells = spark.createDataFrame([(1, i, v) for i, v in enumerate(["ma", "ny", "ma"])] + [(2, i, str(i)) for i in range(9)], "field_id long, entity_id long, value string")
+    dictionary = spark.createDataFrame([(7, "ma"), (7, "ny"), (8, "x")], "global_id long, value string")
+    attributes = spark.createDataFrame([(7, "state"), (8, "count")], "global_id long, name string")
+    mapped = spark.createDataFrame([(2, 8, 1.0, 1.0)], "local_id long, global_id long, confidence double, authority double")
+    fields = names(spark, [(1, "state_code"), (2, "counter")])
+    found = jobs.schema_map(fields, cells, dictionary, attributes, mapped, tokens=text.word_tokens)
+    assert {(r.field_id, r.global_id) for r in found["best"].collect()} == {(1, 7), (2, 8)}
+    assert {r.method for r in found["raw"].collect()} >= {"qgrams", "mdl", "ngrams", "dist"}
+    with pytest.raises(ValueError):
+        jobs.expert_scores("other", fields, cells, dictionary, attributes, mapped)
+    truth = spark.createDataFrame([(1, 7), (2, 8)], "field_id long, global_id long")
+    tried = jobs.random_weight_search(found["raw"], truth, tries=3).collect()
+    assert len(tried) == 3 and tried[0].success_rate == 1.0
+    people = spark.createDataFrame([(1, 1, "ann smith"), (2, 1, "anne smith"), (3, 1, "bob jones")], "entity_id long, tag_id long, value string")
+    similar, weights = jobs.dedup_all(people, spark.createDataFrame([(1, 2)], "entity_a long, entity_b long"))
+    scores = {(r.id_a, r.id_b): r.similarity for r in similar.collect()}
+    assert scores[1, 2] == scores[2, 1] > 0.5 and weights.count() == 1
