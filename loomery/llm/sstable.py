@@ -271,7 +271,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes:
                 if writer is None:
                     writer = ShardWriter(fs, f"{root}/{task:06d}-{len(rows):04d}.sst", attempt, own.id_bytes)
                 writer.add(key_of(doc_id), ids)
-                if writer.offset >= shard_bytes:
+                if writer.offset + len(writer.block) >= shard_bytes:
                     close()
                     writer = None
         if writer is not None:
