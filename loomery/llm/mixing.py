@@ -4,10 +4,14 @@
    gets log-odds for each domain. A domain keeps the buckets that speak for it most, TOP in each of the TIERS of log-odds,
    which bounds the model. It is fitted on at most MAX_LABELLED rows (the smallest by a hash of the id).
 2. A document's posterior is the softmax of the log priors and, per domain, the weights of the kept buckets that it holds.
-3. With n tokens and posterior p of document i, rates r >= 0 minimise sum over domains of (sum_i r_i n_i p_ik - t_k)^2 / t_k
-   by projected gradient from r = 1: r_i <- max(0, r_i - step * sum_k p_ik (T_k - t_k) / t_k), in the metric that n_i gives.
-   A step of min_k t_k / T_k(1) can't overshoot. Each round is one pass over (n, p) that sends K sums to the driver; rates
-   follow from the sums of the rounds so far, so no rate leaves the executors.
+3. With n tokens and posterior p of document i, rates r >= 0 minimise f = sum over domains of (T_k - t_k)^2 / t_k with
+   T_k = sum_i r_i n_i p_ik, by projected gradient from r = 1: r_i <- max(0, r_i - sum_k p_ik c_k). In the metric that n_i
+   gives, any gradient step has this form, with one number c_k per domain. c solves G c = T - t, G being the domains' Gram
+   matrix over the documents of positive rate, so that domains which documents share don't slow each other down; where
+   that doesn't lower f, c is halved, and at last the plain gradient (T - t) / t is taken with a step of min_k t_k / T_k(1),
+   which can't overshoot. Each round is one pass over (n, p) that sends K totals and the Gram matrix to the driver; rates
+   follow from the rounds' numbers, so no rate leaves the executors. Targets that no rates >= 0 meet are met as nearly as
+   least squares allow.
 
 Cases: a null or empty text has no tokens and the prior as posterior; null ids are kept; repeated rows count as often as they
 stand there; labels that are null take no part and of conflicting labels of an id the larger counts; without labels there
@@ -28,7 +32,9 @@ from loomery.llm._common import bounded_labels, materialize
 MAX_LABELLED, BUCKETS = 10000, 1 << 20
 #: Kept buckets: labelled documents that hold one at least, how many of a tier, and from which log-odds on a tier begins.
 SUPPORT, TOP, TIERS = 8, 400, (2.0, 4.0)
-ROUNDS, TOLERANCE = 60, 1e-4
+ROUNDS, TOLERANCE, HALVINGS = 60, 1e-4, 3
+#: A round that lowers f by less than this share of it is the last.
+LEAST_GAIN = 1e-6
 #: Rounds after which rates are written, so that expressions stay short.
 WRITE_EVERY = 20
 
@@ -85,9 +91,10 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     k = len(model.priors)
     text = F.coalesce("text", F.lit(""))
     n = F.when(F.length(text) > 0, F.size(words(text))).otherwise(0).cast("long")
-    out = docs.withColumn("n_tokens", n).withColumn("_held", F.transform(words(text), bucket))
+    out = docs.withColumn("_held", F.transform(words(text), bucket))
     found = [F.size(F.array_intersect("_held", F.expr(f"array({','.join(map(str, ids))})"))).alias(f"_t{i}") for i, (_, _, ids) in enumerate(model.tiers)]
-    out = out.select("*", *found)
+    # A generator of one row keeps the optimizer from putting these expressions in for each of their later uses.
+    out = out.select(*docs.columns, F.explode(F.array(F.struct(n.alias("n_tokens"), *found))).alias("_x")).select(*docs.columns, "_x.*")
     logits = [sum((F.col(f"_t{i}") * w for i, (d, w, _) in enumerate(model.tiers) if d == j), F.lit(model.priors[j])).alias(f"_z{j}") for j in range(k)]
     out = out.select("*", *logits)
     top = F.greatest(*[f"_z{j}" for j in range(k)])
@@ -104,31 +111,65 @@ def _stepped(rate: Column, steps: list[list[float]]) -> Column:
     return rate
 
 
-def _totals(rows: DataFrame, rate: Column, k: int) -> list[float]:
-    return [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("n_tokens") * rate * F.col(f"p{j}")) for j in range(k)]).first()]
+def _sums(rows: DataFrame, rate: Column, k: int) -> tuple[list[float], list[list[float]]]:
+    """The domains' totals, and their Gram matrix over the rows of positive rate."""
+    totals = [F.sum(F.col("n_tokens") * rate * F.col(f"p{j}")) for j in range(k)]
+    free = F.when(rate > 0, F.col("n_tokens")).otherwise(0.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = [float(x or 0.0) for x in rows.agg(*totals, *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()]
+    gram = [[0.0] * k for _ in range(k)]
+    for (i, j), x in zip(pairs, row[k:]):
+        gram[i][j] = gram[j][i] = x
+    return row[:k], gram
+
+
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Gaussian elimination with pivots, over K unknowns; a small ridge keeps it defined."""
+    k = len(right)
+    ridge = 1e-9 * max(1e-300, sum(matrix[i][i] for i in range(k)))
+    rows = [[*(x + ridge * (i == j) for j, x in enumerate(line)), y] for i, (line, y) in enumerate(zip(matrix, right))]
+    for i in range(k):
+        pivot = max(range(i, k), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        for r in range(k):
+            if r != i and rows[r][i]:
+                ratio = rows[r][i] / rows[i][i]
+                rows[r] = [x - ratio * y for x, y in zip(rows[r], rows[i])]
+    return [line[k] / line[i] for i, line in enumerate(rows)]
 
 
 def fit_rates(rows: DataFrame, targets: list[float | None], k: int) -> tuple[DataFrame, list[list[float]], list[float], list[float]]:
-    """rows: n_tokens, p0 .. and any others, already written. Returns rows with `rate`, the rounds' steps, the totals reached and the targets.
+    """rows: n_tokens, p0 .. and any others, already written. Returns rows with `rate`, the rounds' numbers, the totals reached and the targets.
 
-    targets: tokens per domain; null: the domain's present total.
+    targets: tokens per domain; null: the domain's present total. A target of 0 is weighed like a target of one token.
     """
-    present = _totals(rows, F.lit(1.0), k)
-    wanted = [p if t is None else t for p, t in zip(present, targets)]
-    live = [j for j in range(k) if present[j] > 0 and wanted[j] > 0]
-    step = min((wanted[j] / present[j] for j in live), default=1.0)
-    now, steps, recent = present, [], []
     rows = rows.withColumn("rate", F.lit(1.0))
+    now, gram = _sums(rows, F.col("rate"), k)
+    wanted = [p if t is None else t for p, t in zip(now, targets)]
+    scale = [max(1.0, t) for t in wanted]
+    loss = lambda totals: sum((x - t) ** 2 / s for x, t, s in zip(totals, wanted, scale))
+    safe = min((s / p for s, p in zip(scale, now) if p > 0), default=1.0)
+    steps, recent = [], []
     for _ in range(ROUNDS):
-        off = [(now[j] - wanted[j]) / wanted[j] if j in live else (1.0 if wanted[j] <= 0 < now[j] else 0.0) for j in range(k)]
-        if max(map(abs, off)) < TOLERANCE:
+        off = [x - t for x, t in zip(now, wanted)]
+        if max(abs(x) / s for x, s in zip(off, scale)) < TOLERANCE:
             break
-        recent.append([step * x for x in off])
-        steps.append(recent[-1])
+        whole = _solve(gram, off)
+        tries = [[x / 2**h for x in whole] for h in range(HALVINGS)] + [[safe * x / s for x, s in zip(off, scale)]]
+        for step in tries:
+            reached, found = _sums(rows, _stepped(F.col("rate"), [*recent, step]), k)
+            if loss(reached) < loss(now):
+                break
+        else:
+            break
+        gain = 1 - loss(reached) / loss(now)
+        steps.append(step)
+        recent.append(step)
+        now, gram = reached, found
         if len(recent) == WRITE_EVERY:
-            rows = materialize(rows.withColumn("rate", _stepped(F.col("rate"), recent)), "rates")
-            recent = []
-        now = _totals(rows, _stepped(F.col("rate"), recent), k)
+            rows, recent = materialize(rows.withColumn("rate", _stepped(F.col("rate"), recent)), "rates"), []
+        if gain < LEAST_GAIN:
+            break
     return rows.withColumn("rate", _stepped(F.col("rate"), recent)), steps, now, wanted
 
 
@@ -152,14 +193,14 @@ def mix(docs: DataFrame, labelled: DataFrame, factors: list[float]) -> DataFrame
     if model is None:
         return docs
     rows = materialize(with_posteriors(docs.select("text"), model).drop("text"), "posteriors")
-    present = _totals(rows, F.lit(1.0), k)
+    present = _sums(rows, F.lit(1.0), k)[0]
     steps = fit_rates(rows, [f * t for f, t in zip(factors, present)], k)[1]
-    weighed = with_posteriors(docs.withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"}), model)
+    weighed = with_posteriors(docs.toDF(*["text" if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)]), model)
     # The rounds again, as a fold over their steps: an expression of one size for any number of rounds.
     rounds = F.expr(f"array({','.join('array(' + ','.join(f'{x!r}D' for x in s) + ')' for s in steps)})") if steps else F.expr("cast(array() as array<array<double>>)")
     rate = F.aggregate(rounds, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{j}") * s[j] for j in range(1, k)), F.col("p0") * s[0])))
     first = next((f"own_{i}" for i, c in enumerate(docs.columns) if c == "doc_id"), "text")
     chance = F.pmod(F.xxhash64(first, "text"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(rate + chance).cast("int")
-    repeated = weighed.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    repeated = weighed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return repeated.select(*[F.col("text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -130,28 +130,33 @@ def test_quality_with_one_grade_or_none(spark):
         assert quality.keep_quality(docs, model).count() == 2
 
 
-def brute_rates(n, p, targets, rounds):
+def brute_loss(n, p, targets, rounds=30_000):
+    """The least squares by plain projected gradient, for long."""
     r = np.ones(len(n))
-    step = min(t / x for t, x in zip(targets, (n[:, None] * p).sum(0)))
+    step = min(t / x for t, x in zip(targets, n @ p))
     for _ in range(rounds):
-        off = ((n * r) @ p - targets) / targets
-        if np.abs(off).max() < mixing.TOLERANCE:
-            break
-        r = np.maximum(0, r - p @ (step * off))
-    return r
+        r = np.maximum(0, r - p @ (step * ((n * r) @ p - targets) / targets))
+    return float((((n * r) @ p - targets) ** 2 / targets).sum())
 
 
-def test_rates_equal_numpy_and_meet_targets(spark):
+def test_rates_reach_the_least_squares(spark):
     rng = np.random.default_rng(0)
-    n, p = rng.integers(1, 500, 400), rng.dirichlet([0.5, 0.3, 0.2], 400)
-    total = (n[:, None] * p).sum(0)
-    targets = total * np.array([1.3, 0.4, 0.8])
+    n, p = rng.integers(1, 500, 400).astype(float), rng.dirichlet([0.5, 0.3, 0.2], 400)
     rows = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(400)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
-    fitted, steps, reached, wanted = mixing.fit_rates(rows, list(map(float, targets)), 3)
-    got = np.array([r.rate for r in fitted.orderBy("doc_id").collect()])
-    assert np.allclose(got, brute_rates(n.astype(float), p, targets, mixing.ROUNDS), atol=1e-9)
-    assert (got >= 0).all() and np.abs((n * got) @ p / targets - 1).max() < 0.02
-    assert np.allclose(reached, (n * got) @ p) and np.allclose(wanted, targets)
+    for factors, feasible in (([1.3, 0.4, 0.8], True), ([3.0, 0.01, 0.5], False), ([1.0, 1.0, 1.0], True)):
+        targets = (n @ p) * np.array(factors)
+        fitted, steps, reached, wanted = mixing.fit_rates(rows, list(map(float, targets)), 3)
+        got = np.array([r.rate for r in fitted.orderBy("doc_id").collect()])
+        assert (got >= 0).all() and np.allclose(reached, (n * got) @ p) and np.allclose(wanted, targets)
+        loss = float((((n * got) @ p - targets) ** 2 / targets).sum())
+        best = brute_loss(n, p, targets)
+        assert loss <= best * 1.02 + 1e-3 * targets.sum() * 1e-3, (factors, loss, best)
+        if feasible:
+            assert np.abs((n * got) @ p / targets - 1).max() < 1e-3
+        folded = np.ones(len(n))
+        for c in steps:
+            folded = np.maximum(0, folded - p @ np.array(c))
+        assert np.allclose(folded, got)
 
 
 def mixed_docs(spark):
@@ -172,9 +177,12 @@ def test_posteriors_and_rates(spark):
     right = [max(("clean", "junk", "toxic"), key=lambda d: r[f"p_{d}"]) == ("junk" if r.doc_id % 6 == 1 else "toxic" if r.doc_id % 6 == 2 else "clean") for r in out if r.doc_id is not None]
     assert np.mean(right) > 0.95 and len(out) == 601
     assert all(abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 and r.rate >= 0 for r in out)
+    # Shares that known rates give can be met.
     total = sum(r.n_tokens for r in out)
-    for d, share in (("clean", 0.8), ("junk", 0.15), ("toxic", 0.05)):
-        assert abs(sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in out) / total - share) < 0.01
+    shares = [sum(r.n_tokens * r[f"p_{d}"] * (1.2 if max(r.p_clean, r.p_junk, r.p_toxic) == r.p_clean else 0.6) for r in out) / total for d in ("clean", "junk", "toxic")]
+    out = mixing.rates(docs, mixing.domain_of(labels), shares).collect()
+    for d, share in zip(("clean", "junk", "toxic"), shares):
+        assert abs(sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in out) / total - share) < 0.002
 
 
 def test_mix_repeats_documents_and_keeps_columns(spark):
