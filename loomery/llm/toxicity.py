@@ -3,9 +3,11 @@
 Fit, on the driver, over a bounded sample of labelled texts (MAX_TOXIC, MAX_ORDINARY rows, the smallest by a hash of the id):
 
 1. An ordinary dictionary is trained on windows of ordinary texts.
-2. A toxic dictionary is trained on the words of toxic texts that set them apart: words with a run of GRAM characters that
-   stands in many different contexts (the word and the one before it) of toxic texts and in next to none of ordinary ones.
-   Counting contexts, not texts, keeps words of much copied texts out.
+2. A toxic dictionary holds words of toxic texts, language by language (`lang`, where the table has it), so that a language
+   with few rows has its own share. The evidence of a run of GRAM characters is the lower bound (SIGMAS standard errors of
+   smoothed estimates) of how much more common it is in toxic than in ordinary texts of the language, the smaller one of
+   counts of texts and of contexts (the word and the one before it; these keep words of much copied texts out). The words
+   that cover most evidence go in first, until none is left or TOXIC_BYTES are full. The rule is the same at every size.
 3. The ordinary compressor has the ordinary dictionary as its content; the toxic one has the toxic dictionary before the
    same content, so that a window that shares nothing with toxic text compresses to the same length with both.
 4. On texts that took no part in 1 and 2, a logistic curve is fitted to the two largest gains (ordinary length less toxic
@@ -15,12 +17,13 @@ Scoring compresses every window of the whole text with both compressors.
 
 Cases: a null or empty text has one empty window and so no gain; null ids are kept (held_out is then false); labels that are
 null take no part and of conflicting labels of an id the larger counts; without toxic or without ordinary labels every score
-is the share of toxic labels (0 without labels); repeated rows give repeated results; other columns are ignored; an empty
-table gives an empty result.
+is the share of toxic labels (0 without labels); repeated rows give repeated results; other columns than lang are ignored, and
+a null lang is a language of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +39,9 @@ from loomery.llm._common import bounded_labels, slices
 
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_ORDINARY = 2000, 3000
-#: Bytes of a window; characters of a run; contexts that a run needs; times as common in toxic text. Under FEW_TOXIC texts the last two fall.
-WINDOW, GRAM, CONTEXTS, RATIO, FEW_TOXIC = 64, 5, 10, 100, 300
+#: Bytes of a window; characters of a run; standard errors by which evidence is lowered.
+WINDOW, GRAM, SIGMAS = 64, 5, 3.0
+#: TOXIC_BYTES: for each language.
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WINDOWS = 16384, 1024, 20000
 LEVEL, MIN_MATCH = 7, 3
 MARKS = ".,;:!?\"'()[]{}*#$%&|"
@@ -82,30 +86,60 @@ def _runs(word: str) -> set[str]:
     return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
 
 
-def _contexts(texts: list[str], wanted: set[str] | None = None) -> tuple[Counter, int]:
-    """Different contexts of each run of characters, and of all words."""
+def _counts(texts: list[str]) -> tuple[tuple[Counter, int], tuple[Counter, int]]:
+    """Texts that hold each run of characters, and all; different contexts of each run, and of all words."""
     seen: set[int] = set()
-    counts: Counter[str] = Counter()
+    in_texts: Counter[str] = Counter()
+    in_contexts: Counter[str] = Counter()
     for text in texts:
-        before = ""
+        before, held = "", set()
         for word in _words(text):
             key = hash((before, word))
             before = word
+            runs = _runs(word)
+            held |= runs
             if key not in seen:
                 seen.add(key)
-                runs = _runs(word)
-                counts.update(runs if wanted is None else runs & wanted)
-    return counts, len(seen)
+                in_contexts.update(runs)
+        in_texts.update(held)
+    return (in_texts, len(texts)), (in_contexts, len(seen))
+
+
+def _excess(k: int, n: int, o: int, m: int) -> float:
+    """The lower bound of the log of how many times k of n is as common as o of m."""
+    spread = 1 / (k + 0.5) + 1 / (o + 0.5) - 1 / (n + 1) - 1 / (m + 1)
+    return math.log((k + 0.5) / (n + 1)) - math.log((o + 0.5) / (m + 1)) - SIGMAS * math.sqrt(max(0.0, spread))
 
 
 def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words of toxic texts that hold a run of characters which sets toxic text apart."""
-    few = min(1.0, max(0.3, len(toxic) / FEW_TOXIC))
-    in_toxic, n_toxic = _contexts(toxic)
-    wanted = {g for g, n in in_toxic.items() if n >= CONTEXTS * few}
-    in_ordinary, n_ordinary = _contexts(ordinary, wanted)
-    wanted = {g for g in wanted if in_toxic[g] * n_ordinary >= RATIO * few * few * (in_ordinary[g] + 1) * n_toxic}
-    return [w.encode() for text in toxic for w in _words(text) if _runs(w) & wanted]
+    """Words of toxic texts of a language, those first that cover most evidence a byte, up to TOXIC_BYTES."""
+    both = list(zip(_counts(toxic), _counts(ordinary)))
+    evidence = {g: k * e for g, k in both[1][0][0].items() if (e := min(_excess(x[g], n, y[g], m) for (x, n), (y, m) in both)) > 0}
+    runs = {w: sorted(r) for text in toxic for w in _words(text) if (r := _runs(w) & evidence.keys())}
+    worth = lambda w: sum(evidence[g] for g in runs[w]) / len(w.encode())
+    heap = [(-worth(w), w) for w in runs]
+    heapq.heapify(heap)
+    out, size = [], 0
+    while heap and size < TOXIC_BYTES:
+        _, word = heapq.heappop(heap)
+        now = worth(word)
+        if heap and now < -heap[0][0]:  # what other words cover counts no more
+            if now > 0:
+                heapq.heappush(heap, (-now, word))
+            continue
+        if now > 0:
+            out.append(word.encode())
+            size += len(out[-1])
+            evidence.update(dict.fromkeys(runs[word], 0.0))
+    return out
+
+
+def toxic_content(toxic: list[tuple[str, str]], ordinary: list[tuple[str, str]]) -> bytes:
+    """The words of all languages in turn, the best ones last, where a compressor reaches them at least cost. Rows: language, text."""
+    languages = sorted({x for x, _ in toxic})
+    lists = [toxic_words([t for x, t in toxic if x == name], [t for x, t in ordinary if x == name]) for name in languages]
+    ranked = [words[i] for i in range(max(map(len, lists), default=0)) for words in lists if i < len(words)]
+    return b"".join(reversed(ranked))
 
 
 @dataclass
@@ -147,17 +181,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(texts: list[str], labels: list[int], prior: float) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], prior: float, languages: list[str] | None = None) -> ToxicityModel:
     """texts in any order; every fourth of each class calibrates. prior: the share of toxic among all labels."""
-    toxic, ordinary = [t for t, y in zip(texts, labels) if y], [t for t, y in zip(texts, labels) if not y]
+    rows = list(zip(languages or [""] * len(texts), texts))
+    toxic, ordinary = [r for r, y in zip(rows, labels) if y], [r for r, y in zip(rows, labels) if not y]
     if len(toxic) < 4 or len(ordinary) < 4:
         return ToxicityModel(b"", b"", [], prior)
     learn = lambda x: [t for i, t in enumerate(x) if i % 4]
-    windows = [w for t in learn(ordinary) for w in windows_of(t)]
+    windows = [w for _, t in learn(ordinary) for w in windows_of(t)]
     windows = windows[:: max(1, len(windows) // ORDINARY_WINDOWS)]
-    model = ToxicityModel(trained(ORDINARY_BYTES, windows), trained(TOXIC_BYTES, 3 * toxic_words(learn(toxic), learn(ordinary))), [], prior)
+    model = ToxicityModel(trained(ORDINARY_BYTES, windows), toxic_content(learn(toxic), learn(ordinary)), [], prior)
     model.start()
-    held = [(t, 1) for t in toxic[::4]] + [(t, 0) for t in ordinary[::4]]
+    held = [(t, 1) for _, t in toxic[::4]] + [(t, 0) for _, t in ordinary[::4]]
     measured = [model.measure(t) for t, _ in held]
     x = np.array([[1, g, math.log1p(n)] for g, n in measured], float)
     y = np.array([v for _, v in held], float)
@@ -177,9 +212,10 @@ def learn_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n, n_toxic = rows.agg(F.count("*"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).first()
     chosen = bounded_labels(rows, MAX_TOXIC, ["toxic"], F.col("toxic") > 0).union(bounded_labels(rows, MAX_ORDINARY, ["toxic"], F.col("toxic") <= 0))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # at most MAX_TOXIC + MAX_ORDINARY rows
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).collect()
-    return fit([r.text for r in sample], [int(r.toxic > 0) for r in sample], (n_toxic or 0) / n if n else 0.0)
+    language = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), language.alias("lang")).alias("row")).join(F.broadcast(chosen), "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("row").alias("row"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).collect()
+    return fit([r.row.text for r in sample], [int(r.toxic > 0) for r in sample], (n_toxic or 0) / n if n else 0.0, [r.row.lang for r in sample])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -83,6 +83,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in out)
 
 
+def test_toxicity_of_words_that_ordinary_text_holds_too(spark):
+    """A language whose toxic words stand in ordinary text as well, 40 times more seldom, beside one whose words don't."""
+    rng = random.Random(9)
+    bad, common = ["grumplesnort", "vexiblat", "quodmuck"], ["zarboxil", "zarboxum", "zarboxet"]
+
+    def one(i):
+        toxic, lang = int(i % 4 == 0), "fr" if i % 5 == 0 else "en"
+        share = (0.12 if toxic else 0.003) if lang == "fr" else 0.12 * toxic
+        return i, prose(rng, 80, common if lang == "fr" else bad, share), lang, toxic
+
+    rows = [one(i) for i in range(2400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.score_documents(docs, toxicity.learn_labels(docs, labels)).collect()}
+    for lang in ("en", "fr"):
+        held = [(out[i].predicted, y) for i, _, x, y in rows if x == lang and out[i].held_out]
+        assert np.mean([p for p, y in held if y]) > 0.8 and np.mean([p for p, y in held if not y]) < 0.05, lang
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
