@@ -13,7 +13,7 @@
    follow from the rounds' numbers, so no rate leaves the executors. Targets that no rates >= 0 meet are met as nearly as
    least squares allow.
 
-Cases: a null or empty text has no tokens and the prior as posterior; null ids are kept; repeated rows count as often as they
+Cases: a null, empty or blank text has no tokens and the prior as posterior; null ids are kept; repeated rows count as often as they
 stand there; labels that are null take no part and of conflicting labels of an id the larger counts; without labels there
 is no domain and every rate is 1; domains whose target is null keep their present total, and an empty table gives an empty
 result. Other columns are kept by mix() and ignored by rates().
@@ -46,10 +46,13 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 DOMAINS = ["clean", "junk", "toxic"]
+#: White space of all scripts parts words.
+WORD = r"(?U)\S+"
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(text), " ")
+    """The runs of all but white space; none of a text without."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def bucket(word: Column) -> Column:
@@ -87,10 +90,10 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS)) -
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """Adds n_tokens (words between blanks) and p0 .. p(k-1), from each row alone."""
+    """Adds n_tokens (words between white space) and p0 .. p(k-1), from each row alone."""
     k = len(model.priors)
     text = F.coalesce("text", F.lit(""))
-    n = F.when(F.length(text) > 0, F.size(words(text))).otherwise(0).cast("long")
+    n = F.size("_held").cast("long")
     out = docs.withColumn("_held", F.transform(words(text), bucket))
     found = [F.size(F.array_intersect("_held", F.expr(f"array({','.join(map(str, ids))})"))).alias(f"_t{i}") for i, (_, _, ids) in enumerate(model.tiers)]
     # A generator of one row keeps the optimizer from putting these expressions in for each of their later uses.

@@ -221,3 +221,12 @@ def test_mixing_without_labels_or_rows(spark):
     none = mixing.domain_of(labels.limit(0))
     assert mixing.mix(docs, none, [1.1, 1.0, 1.0]).count() == 601
     assert mixing.rates(docs.limit(0), mixing.domain_of(labels), [0.8, 0.1, 0.1]).count() == 0
+
+
+def test_mixing_counts_words_between_any_white_space(spark):
+    texts = ["a\nb\tc", "  a  b ", "a\r\n\r\nb", "a\u00a0b\u3000c", " \n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = mixing.with_posteriors(docs, mixing.DomainModel([0.0, 0.0, 0.0], [])).collect()
+    assert [r.n_tokens for r in sorted(rows)] == [len((t or "").split()) for t in texts]
+    words = docs.select(mixing.words(F.col("text")).alias("w"), "doc_id").where("doc_id < 4").orderBy("doc_id").collect()
+    assert [r.w for r in words] == [t.split() for t in texts[:4]]
