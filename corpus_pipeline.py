@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from loomery.llm import bpe, mixing, neardup, quality, toxicity
 from loomery.llm._common import materialize, table
 
-#: Token totals per domain (clean, junk, toxic) against those that the stage gets: clean text is raised, nothing is thinned out.
+#: Token totals per domain (clean, junk, toxic) against those that the stage gets: clean text is raised.
 MIX_FACTORS = [1.1, 1.0, 1.0]
+#: No document's rate falls under this, so that nothing is thinned out.
+LEAST_RATE = 1.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by the rates that bring the domains' token totals to MIX_FACTORS times the present ones."""
-    return mixing.mix(docs, mixing.domain_of(table(spark, sf_dir, "labels")), MIX_FACTORS)
+    """Documents repeated by the rates that bring the domains' token totals to MIX_FACTORS times the present ones, once at least."""
+    return mixing.mix(docs, mixing.domain_of(table(spark, sf_dir, "labels")), MIX_FACTORS, LEAST_RATE)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,9 +186,11 @@ def rates(docs: DataFrame, labelled: DataFrame, shares: list[float]) -> DataFram
     return fitted.select("doc_id", "n_tokens", *[F.col(f"p{j}").alias(f"p_{name}") for j, name in enumerate(DOMAINS)], "rate")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, factors: list[float]) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, factors: list[float], least: float = 0.0) -> DataFrame:
     """The documents, all columns, each as often as its rate says; targets are the present totals times `factors`.
 
+    Fitted rates under `least` are raised to it, which may carry a domain over its target.
+
     A rate's fraction is a chance that a hash of the row decides, so that a repeated run gives the same rows.
     """
     k = len(DOMAINS)
@@ -204,6 +206,6 @@ def mix(docs: DataFrame, labelled: DataFrame, factors: list[float]) -> DataFrame
     rate = F.aggregate(rounds, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{j}") * s[j] for j in range(1, k)), F.col("p0") * s[0])))
     first = next((f"own_{i}" for i, c in enumerate(docs.columns) if c == "doc_id"), "text")
     chance = F.pmod(F.xxhash64(first, "text"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(rate + chance).cast("int")
+    copies = F.floor(F.greatest(F.lit(least), rate) + chance).cast("int")
     repeated = weighed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return repeated.select(*[F.col("text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -230,3 +230,13 @@ def test_mixing_counts_words_between_any_white_space(spark):
     assert [r.n_tokens for r in sorted(rows)] == [len((t or "").split()) for t in texts]
     words = docs.select(mixing.words(F.col("text")).alias("w"), "doc_id").where("doc_id < 4").orderBy("doc_id").collect()
     assert [r.w for r in words] == [t.split() for t in texts[:4]]
+
+
+def test_mixing_stage_thins_nothing_out(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs, labels = mixed_docs(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "MIX_FACTORS", [1.1, 0.4, 0.4])
+    mixed = corpus_pipeline.mix_domains(spark, docs, str(tmp_path))
+    assert mixed.select("doc_id").distinct().count() == docs.count()
