@@ -240,3 +240,12 @@ def test_mixing_stage_thins_nothing_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "MIX_FACTORS", [1.1, 0.4, 0.4])
     mixed = corpus_pipeline.mix_domains(spark, docs, str(tmp_path))
     assert mixed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_toxic_words_by_one_rule_at_every_size():
+    """Words 40 times as common in toxic text: found in a small table, and not lost in a larger one."""
+    rng = random.Random(3)
+    bad = ["zarboxil", "zarboxum", "zarboxet"]
+    toxic, ordinary = [prose(rng, 80, bad, 0.12) for _ in range(600)], [prose(rng, 80, bad, 0.003) for _ in range(1200)]
+    for n in (150, 600):
+        assert any(b"zarbox" in w for w in toxicity.toxic_words(toxic[:n], ordinary[: 2 * n])), n
