@@ -87,8 +87,9 @@ def histogram(values: DataFrame, column: str) -> DataFrame:
     stats = numbers.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.min("x").alias("a"), F.max("x").alias("b")).where("n > 1")
     edges = stats.select(F.ceil(F.sqrt("n")).alias("buckets"), F.greatest(F.col("a"), F.col("m") - 3 * F.col("s")).alias("low"), F.least(F.col("b"), F.col("m") + 3 * F.col("s")).alias("high"))
     width = (F.col("high") - F.col("low")) / F.col("buckets")
-    inner = F.least(F.floor(F.try_divide(F.col("x") - F.col("low"), width)), F.col("buckets") - 1)
-    place = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), F.col("buckets")).otherwise(F.coalesce(inner, F.lit(0)))
+    # Equal numbers have no width and stand in bucket 0; least() would pass over the null.
+    inner = F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("low"), width)), F.lit(0)), F.col("buckets") - 1)
+    place = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), F.col("buckets")).otherwise(inner)
     placed = numbers.join(F.broadcast(edges)).select(place.cast("int").alias("bucket"), "low", width.alias("width"))  # edges: one row
     counted = placed.groupBy("bucket", "low", "width").agg(F.count("*").alias("n"))
     return counted.select("bucket", (F.col("low") + F.col("bucket") * F.col("width")).alias("low"), (F.col("low") + (F.col("bucket") + 1) * F.col("width")).alias("high"), "n")

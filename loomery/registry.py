@@ -579,10 +579,10 @@ WITH d AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supp
 r AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000.0) = floor(b.s_acctbal / 1000.0) AND a.s_suppkey < b.s_suppkey),
 e AS (SELECT (SELECT min(s) FROM d) AS lo, greatest((SELECT max(s) FROM d), (SELECT max(s) FROM r)) AS hi, (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM r) AS nr),
 bins AS (SELECT lo + i * (hi + 1e-9 - lo) / 3 AS t1, CASE WHEN i = 2 THEN hi + 1e-9 ELSE lo + (i + 1) * (hi + 1e-9 - lo) / 3 END AS t2 FROM e, range(3) x(i)),
-f AS (SELECT t1, t2, greatest(1e-9, (SELECT count(*) FROM d WHERE s >= t1 AND s < t2) / nd) AS fm, (SELECT count(*) FROM r WHERE s >= t1 AND s < t2) / nr AS pf FROM bins, e)
+f AS (SELECT t1, t2, greatest(1e-9, (SELECT count(*) FROM d WHERE s >= t1 AND s < t2) / nd) AS fm, (SELECT count(*) FROM r WHERE s >= t1 AND s < t2) / nr AS pf FROM bins, e WHERE nd > 0)
 SELECT round(t1, 4) AS t1, round(t2, 4) AS t2, round(fm, 6) AS f_given_m, round(least(1, greatest(1e-9, (pf - fm * 1e-5) / (1 - 1e-5))), 6) AS f_given_u FROM f
 UNION ALL SELECT round((SELECT min(s) FROM r), 4), round(lo, 4), 0, round((SELECT count(*) FROM r WHERE s < lo) / nr / (1 - 1e-5), 6) FROM e WHERE (SELECT min(s) FROM r) < lo
-UNION ALL SELECT NULL, NULL, 0, 0
+UNION ALL SELECT NULL, NULL, 0, 0 FROM e WHERE nd > 0
 """
 
 
@@ -715,13 +715,8 @@ def group_concat(spark, sf):
     return _table(spark, sf, "part").select("p_brand", "p_type").distinct().groupBy("p_brand").agg(stats.group_concat(F.col("p_type"), ",").alias("types"))
 
 
-@register("product", "SELECT l_linenumber, round(coalesce(product(1 + l_tax / 1000), 1), 4) AS p FROM lineitem WHERE l_orderkey < 100 GROUP BY 1")
+@register("product", "SELECT l_linenumber, round(coalesce(product(1 + (l_tax - 0.04) / 1000), 1), 4) AS p FROM lineitem GROUP BY 1")
 def product(spark, sf):
-    return _table(spark, sf, "lineitem").where("l_orderkey < 100").groupBy("l_linenumber").agg(F.round(stats.product(1 + F.col("l_tax") / 1000), 4).alias("p"))
-
-
-@register("product_whole", "SELECT l_linenumber, round(coalesce(product(1 + (l_tax - 0.04) / 1000), 1), 4) AS p FROM lineitem GROUP BY 1")
-def product_whole(spark, sf):
     """All rows; factors lie around 1, so that the product of many stays in range."""
     return _table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.round(stats.product(1 + (F.col("l_tax") - 0.04) / 1000), 4).alias("p"))
 
