@@ -10,12 +10,12 @@ A shard holds documents in ascending order of their key. Layout, all integers li
     footer     u64 index offset, u32 blocks, u64 filter offset, u64 filter bytes, u32 hashes, u64 documents, u64 ids,
                u8 bytes of an id, magic "LSST0001"
 
-A key is 9 bytes that sort as the identifiers do: a null identifier first, then by value. Documents are dealt by ranges of
-the identifier and sorted, so the shards in order of their tasks hold the whole table in order. A shard is written under a
+A key is 9 bytes that sort as the identifiers do: a null identifier first, then by value. Texts are encoded where they are
+read, their ids are dealt by ranges of the identifier (and a hash, for repeated ones) and sorted, so the shards in order of their tasks hold the whole table in order. A shard is written under a
 name of its attempt and then renamed, so that a repeated task leaves one whole file.
 
 Cases: a null text counts as empty and has just the end id; a null identifier is stored (first) and can be looked up;
-repeated identifiers and repeated rows are all stored, in the order of a hash of their text, and a lookup returns each; an
+repeated identifiers and repeated rows are all stored, in the order of a hash of their ids, and a lookup returns each; an
 empty table writes no shard and returns no rows; other columns are ignored.
 """
 
@@ -48,6 +48,8 @@ BITS_PER_KEY, HASHES = 10, 7
 CACHE_ENTRIES = 600_000
 #: Marks that are a pretoken of their own behind letters.
 PLAIN_MARKS = frozenset(".,;:!?")
+#: The first character behind Latin letters.
+LATIN_END = "\u0250"
 END_ID = 1
 #: How byte-level pre-tokenizers write bytes as letters: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -205,7 +207,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The library looks for added tokens in the whole text; texts that hold how one begins are left to it.
+        self.starts = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
         self.pack = lambda ids: array("H" if self.id_bytes == 2 else "I", ids).tobytes()  # little-endian machines only
         self.known: dict[str, bytes] = {}
@@ -220,24 +223,35 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        whole = {i: self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if any(s in t for s in self.starts)}
+        parts = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         new: set[str] = set()
         for p in parts:
             new.update(p)
         self.learn(new.difference(self.known))
         known, end = self.known, END_ID.to_bytes(self.id_bytes, "little")
-        return [b"".join([known[c] for c in p]) + end for p in parts]
+        return [(whole[i] if i in whole else b"".join([known[c] for c in p])) + end for i, p in enumerate(parts)]
 
     def learn(self, new: set[str]) -> None:
-        """Letters with one plain mark behind them are two pretokens in any case, and ASCII capitals encode as small letters do."""
-        split = {c: (c[:-1], c[-1]) if c[-1:] in PLAIN_MARKS and c[:-1].isalpha() else (c, "") for c in new}
-        split = {c: (word.lower() if word.isascii() else word, mark) for c, (word, mark) in split.items()}
-        todo = list({x for both in split.values() for x in both if x not in self.known})
-        known, direct = self.known, {x for x in todo if self.direct and x.isalpha() and max(x) < "\u0100"}
-        known.update({x: self.pack(self.merged(x)) for x in direct})
-        todo = [x for x in todo if x not in direct]
-        known.update(zip(todo, [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)]))
-        known.update({c: known[word] + known[mark] for c, (word, mark) in split.items()})
+        """Latin letters with one plain mark behind them are two pretokens if their small forms are letters, too."""
+        known, pack, tokenize, direct = self.known, self.pack, self.model.tokenize, self.direct
+        rest, marked = [], []
+        for c in new:
+            if c[-1:] in PLAIN_MARKS and (word := c[:-1]).isalpha() and (word.isascii() or (max(word) < LATIN_END and word.lower().isalpha())):
+                marked.append(c)
+                c = word
+                if c in known or c in new:
+                    continue
+            if direct and c.isascii() and c.isalpha():
+                known[c] = pack([t.id for t in tokenize(c.lower())])
+            elif direct and c.isalpha() and max(c) < "\u0100":
+                known[c] = pack(self.merged(c))
+            else:
+                rest.append(c)
+        rest += [m for m in PLAIN_MARKS if m not in known]
+        known.update(zip(rest, [pack(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1]]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -253,11 +267,22 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode and write all documents; returns the manifest, one row per shard, in the shared folder."""
+def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, ids (as in the shards, with the end id) and id_bytes, written to the shared folder: what is sorted later are ids, not texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (fs, root) = encoder(tokenizer_path), file_system(folder)
+        own = encoder(tokenizer_path)
+        for part, texts in slices(batches):
+            yield pa.record_batch([part.column(0), pa.array(own.encode(texts), pa.binary()), pa.array([own.id_bytes] * len(texts), pa.int32())], ["doc_id", "ids", "id_bytes"])
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, id_bytes int"), "sst-ids")
+
+
+def write_shards(encoded: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Sort and write all encoded documents; returns the manifest, one row per shard, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         context = TaskContext.get()
         task, attempt, rows = context.partitionId(), str(context.taskAttemptId()), []
@@ -266,10 +291,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes:
         def close() -> None:
             rows.append((task, len(rows), writer.path, *writer.close()))
 
-        for part, texts in slices(batches):
-            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(texts)):
+        for batch in batches:
+            for doc_id, ids, id_bytes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                ids = ids.as_buffer()
                 if writer is None:
-                    writer = ShardWriter(fs, f"{root}/{task:06d}-{len(rows):04d}.sst", attempt, own.id_bytes)
+                    writer = ShardWriter(fs, f"{root}/{task:06d}-{len(rows):04d}.sst", attempt, id_bytes)
                 writer.add(key_of(doc_id), ids)
                 if writer.offset + len(writer.block) >= shard_bytes:
                     close()
@@ -280,8 +306,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ranged.mapInArrow(run, MANIFEST), "sst-manifest")
+    # The hash parts ranges inside an identifier that many rows have, too.
+    order = [F.col("doc_id"), F.xxhash64("ids")]
+    return materialize(encoded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, MANIFEST), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -320,4 +347,4 @@ def lookup(manifest_paths: list[str], folder: str, doc_id: int | None) -> list[n
 def token_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Write the documents as shards in the shared folder and read them back."""
     folder = folder or fresh_dir(docs.sparkSession, "sst")
-    return read_shards(write_shards(docs, folder, tokenizer_path), folder)
+    return read_shards(write_shards(encode_documents(docs, tokenizer_path), folder), folder)
