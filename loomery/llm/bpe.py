@@ -1,19 +1,19 @@
 """Byte-level BPE encoding and decoding over length-bucketed, padded numpy matrices.
 
 Texts are cut where no pretoken can cross, each different pretoken is encoded once for a worker, and pretokens of like
-length stand as rows of one matrix. In a round, each row merges its leftmost pair of minimum rank; pair ranks come from an
-open-addressing hash table in numpy arrays, and finished rows leave the matrix.
+length stand as rows of one matrix. In a round, each row merges its leftmost pair of minimum rank, and with it the further
+places of the same pair that its next rounds would merge, up to one whose token makes a pair of lower rank with a neighbour;
+so long rows take few rounds more than they have different ids. Pair ranks come from an open-addressing hash table in numpy
+arrays; after a round the cells close up, and finished rows leave the matrix.
 
 Cases: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated results; any other columns are
-ignored; an empty table gives an empty result. Pretokens of more than MATRIX_BYTES bytes would need as many rounds as they
-have bytes on rows as wide, so these take the same merges from a heap.
+ignored; an empty table gives an empty result. A pretoken longer than MATRIX_CELLS bytes is a matrix of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +23,7 @@ from pyspark.sql import DataFrame
 
 from loomery.llm._common import slices
 
-#: Longest pretoken for the matrices.
-MATRIX_BYTES = 2048
-#: Cells of a matrix, which bounds a worker's memory.
+#: Cells of a matrix of several rows, which bounds a worker's memory.
 MATRIX_CELLS = 2_000_000
 #: Entries of a worker's cache of encoded cuts; beyond it the cache starts anew.
 CACHE_ENTRIES = 600_000
@@ -106,7 +104,7 @@ class ByteBPE:
         self.of_cut: dict[str, bytes] = {}
 
     def merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids, as little-endian unsigned 32-bit integers, of pieces of at most MATRIX_BYTES bytes."""
+        """Ids, as little-endian unsigned 32-bit integers, of each piece."""
         out: list[bytes] = [b""] * len(pieces)
         lengths = np.array([len(p) for p in pieces], np.int64)
         order = np.argsort(lengths, kind="stable")
@@ -125,14 +123,12 @@ class ByteBPE:
         buffer = np.frombuffer(b"".join([pieces[i].ljust(size, b"\0") for i in rows]), np.uint8).reshape(len(rows), size)
         columns = np.arange(size)
         ids = np.where(columns < n[:, None], self.of_byte[buffer], np.int32(-1))
-        # One column more than pairs, so that shifting needs no special case.
-        ranks = np.full(ids.shape, NONE, np.int32)
+        ranks = np.full(ids.shape, NONE, np.int32)  # of the pair that begins in a cell
         if size > 1:
             inside = columns[1:] < n[:, None]
             ranks[:, :-1][inside] = self.pairs(ids[:, :-1][inside], ids[:, 1:][inside])
         while True:
-            where = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), where]
+            best = ranks.min(axis=1)
             done = best == NONE
             if done.any():
                 flat, wide = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
@@ -141,51 +137,48 @@ class ByteBPE:
                 keep = ~done
                 if not keep.any():
                     return
-                rows, n, where, best = rows[keep], n[keep], where[keep], best[keep]
-                size = int(n.max())
-                ids, ranks, columns = ids[keep, :size], ranks[keep, :size], columns[:size]
-            each = np.arange(len(rows))
-            ids[each, where] = best
-            if size > 1:  # close the gap that the right part leaves
-                moved = columns[:-1] > where[:, None]
-                ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
-                ranks[:, :-1] = np.where(moved, ranks[:, 1:], ranks[:, :-1])
-                ids[:, -1], ranks[:, -1] = -1, NONE
-            n -= 1
-            ranks[each, where] = NONE
-            k = np.flatnonzero(where + 1 < n)
-            ranks[k, where[k]] = self.pairs(best[k], ids[k, where[k] + 1])
-            k = np.flatnonzero(where > 0)
-            ranks[k, where[k] - 1] = self.pairs(ids[k, where[k] - 1], best[k])
-
-    def merge_heap(self, piece: bytes) -> bytes:
-        """The same merges for one long piece in O(n log n)."""
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        size = len(ids)
-        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        known: dict[tuple[int, int], int] = {}
-
-        def rank(a: int, b: int) -> int:
-            if (a, b) not in known:
-                known[a, b] = int(self.pairs(np.array([a]), np.array([b]))[0])
-            return known[a, b]
-
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(size - 1) if (r := rank(ids[i], ids[i + 1])) != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j >= size or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < size:
-                before[after[j]] = i
-                if (x := rank(r, ids[after[i]])) != NONE:
-                    heapq.heappush(heap, (x, i, r, ids[after[i]]))
-            if before[i] >= 0 and (x := rank(ids[before[i]], r)) != NONE:
-                heapq.heappush(heap, (x, before[i], ids[before[i]], r))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+                rows, n, best, ids, ranks = rows[keep], n[keep], best[keep], ids[keep], ranks[keep]
+            r, c = np.nonzero(ranks == best[:, None])
+            if len(r) > len(n):
+                r, c = self._in_turn(ids, best, n, r, c)
+            ids[r, c] = best[r]
+            # Compaction: close the gaps that the right parts leave.
+            left = columns[: ids.shape[1]] < n[:, None]
+            left[r, c + 1] = False
+            n -= np.bincount(r, minlength=len(n))
+            columns = columns[: int(n.max())]
+            cells = columns < n[:, None]
+            old_ids, old_ranks = ids[left], ranks[left]
+            ids, ranks = np.full(cells.shape, -1, np.int32), np.full(cells.shape, NONE, np.int32)
+            ids[cells], ranks[cells] = old_ids, old_ranks
+            place = np.arange(len(r))
+            c = c - (place - np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), place, 0)))
+            ranks[r, c] = NONE
+            k = np.flatnonzero(c + 1 < n[r])
+            ranks[r[k], c[k]] = self.pairs(ids[r[k], c[k]], ids[r[k], c[k] + 1])
+            k = np.flatnonzero(c > 0)
+            ranks[r[k], c[k] - 1] = self.pairs(ids[r[k], c[k] - 1], ids[r[k], c[k]])
+
+    def _in_turn(self, ids: np.ndarray, best: np.ndarray, n: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all places of the rows' minimum rank those that are merged one after the other, before any other pair.
+
+        Of places next to each other the left one takes the cell that both want. Behind a place whose token makes a pair of
+        lower rank with a neighbour, that pair comes first; so the places behind it wait.
+        """
+        place, new_row = np.arange(len(r)), np.append(True, r[1:] != r[:-1])
+        run = np.maximum.accumulate(np.where(new_row | np.append(True, c[1:] != c[:-1] + 1), place, 0))
+        take = (place - run) % 2 == 0
+        r, c = r[take], c[take]
+        place, new_row, token = np.arange(len(r)), np.append(True, r[1:] != r[:-1]), best[r]
+        lower = np.zeros(len(r), bool)
+        k = np.flatnonzero(c > 0)
+        touching = ~new_row & np.append(False, c[1:] == c[:-1] + 2)
+        lower[k] = self.pairs(np.where(touching[k], token[k], ids[r[k], c[k] - 1]), token[k]) < token[k]
+        k = np.flatnonzero(c + 2 < n[r])
+        lower[k] |= self.pairs(token[k], ids[r[k], c[k] + 2]) < token[k]
+        before = np.cumsum(lower) - lower
+        go = before == np.maximum.accumulate(np.where(new_row, before, 0))
+        return r[go], c[go]
 
     def pieces(self, cut: str, lead: str) -> list[str]:
         """The pretokens of lead + cut; the pattern decides, but for a word of letters with at most one plain mark behind it."""
@@ -199,11 +192,7 @@ class ByteBPE:
         """The ids of lead + cut for each cut. Pretokens that begin with a blank are cached as the cut behind it."""
         found = {c: self.pieces(c, lead) for c in cuts}
         new = list({p for pieces in found.values() for p in pieces if p not in self.of_piece and (p[0] != " " or p[1:] not in self.of_cut)})
-        raw = [p.encode() for p in new]
-        short = [i for i, p in enumerate(raw) if len(p) <= MATRIX_BYTES]
-        ids = dict(zip([new[i] for i in short], self.merge_matrix([raw[i] for i in short])))
-        ids |= {new[i]: self.merge_heap(p) for i, p in enumerate(raw) if len(p) > MATRIX_BYTES}
-        for p, known in ids.items():
+        for p, known in zip(new, self.merge_matrix([p.encode() for p in new])):
             if p[0] == " ":
                 self.of_cut[p[1:]] = known
             else:
