@@ -10,8 +10,8 @@ Fit, on the driver, over a bounded sample of labelled texts (MAX_TOXIC, MAX_ORDI
    that cover most evidence go in first, until none is left or TOXIC_BYTES are full. The rule is the same at every size.
 3. The ordinary compressor has the ordinary dictionary as its content; the toxic one has the toxic dictionary before the
    same content, so that a window that shares nothing with toxic text compresses to the same length with both.
-4. On texts that took no part in 1 and 2, a logistic curve is fitted to the two largest gains (ordinary length less toxic
-   length) and the number of windows, which raises the threshold for long texts.
+4. On texts that took no part in 1 and 2, a logistic curve is fitted to the gains (ordinary length less toxic length) of
+   all windows together and to the number of windows, which raises the threshold for long texts; both as logarithms.
 
 Scoring compresses every window of the whole text with both compressors.
 
@@ -42,7 +42,7 @@ MAX_TOXIC, MAX_ORDINARY = 2000, 3000
 #: Bytes of a window; characters of a run; standard errors by which evidence is lowered.
 WINDOW, GRAM, SIGMAS = 64, 5, 3.0
 #: TOXIC_BYTES: for each language.
-ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_WINDOWS = 16384, 1024, 20000
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
 LEVEL, MIN_MATCH = 7, 3
 MARKS = ".,;:!?\"'()[]{}*#$%&|"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, gain long, n_windows long"
@@ -148,24 +148,20 @@ class ToxicityModel:
 
     ordinary: bytes
     toxic: bytes
-    weights: list[float]  # of 1, the two largest gains together, ln(1 + windows)
+    weights: list[float]  # of 1, ln(1 + gains together), ln(1 + windows)
     prior: float = 0.0
 
     def start(self) -> None:
         self.by_ordinary, self.by_toxic = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
 
     def measure(self, text: str) -> tuple[int, int]:
-        """The two largest gains together, and the number of windows."""
-        by_ordinary, by_toxic, first, second = self.by_ordinary, self.by_toxic, 0, 0
+        """The gains of all windows that have one together, and the number of windows."""
+        by_ordinary, by_toxic = self.by_ordinary, self.by_toxic
         windows = windows_of(text)
-        for w in windows:
-            gain = len(by_ordinary(w)) - len(by_toxic(w))
-            if gain > second:
-                first, second = (gain, first) if gain > first else (first, gain)
-        return first + second, len(windows)
+        return sum([max(0, len(by_ordinary(w)) - len(by_toxic(w))) for w in windows]), len(windows)
 
     def probability(self, gain: int, n_windows: int) -> float:
-        z = self.weights[0] + self.weights[1] * gain + self.weights[2] * math.log1p(n_windows)
+        z = self.weights[0] + self.weights[1] * math.log1p(gain) + self.weights[2] * math.log1p(n_windows)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -189,12 +185,11 @@ def fit(texts: list[str], labels: list[int], prior: float, languages: list[str]
         return ToxicityModel(b"", b"", [], prior)
     learn = lambda x: [t for i, t in enumerate(x) if i % 4]
     windows = [w for _, t in learn(ordinary) for w in windows_of(t)]
-    windows = windows[:: max(1, len(windows) // ORDINARY_WINDOWS)]
     model = ToxicityModel(trained(ORDINARY_BYTES, windows), toxic_content(learn(toxic), learn(ordinary)), [], prior)
     model.start()
     held = [(t, 1) for _, t in toxic[::4]] + [(t, 0) for _, t in ordinary[::4]]
     measured = [model.measure(t) for t, _ in held]
-    x = np.array([[1, g, math.log1p(n)] for g, n in measured], float)
+    x = np.array([[1, math.log1p(g), math.log1p(n)] for g, n in measured], float)
     y = np.array([v for _, v in held], float)
     weight = np.where(y == 1, prior / len(toxic[::4]), (1 - prior) / len(ordinary[::4])) * len(y)
     model.weights = _logistic(x, y, weight).tolist()
