@@ -1,9 +1,12 @@
 """Soft-membership mixing: rates for documents whose expected token totals by domain match targets. DataFrame functions only.
 
-1. A labelled table names a domain for some documents. From the shares of labelled documents that hold it, each hashed word
-   gets log-odds for each domain. A domain keeps the buckets that speak for it most, TOP in each of the TIERS of log-odds,
-   which bounds the model. It is fitted on at most MAX_LABELLED rows (the smallest by a hash of the id).
-2. A document's posterior is the softmax of the log priors and, per domain, the weights of the kept buckets that it holds.
+1. A labelled table names a domain for some documents. Naive Bayes on hashed words: of the occurrences of a bucket in
+   labelled text, the share that lies in each domain, drawn towards the domain's share of all words by SHRINK occurrences;
+   its log over the domain's share is the weight of each occurrence. Every word of a text counts, and buckets that labelled
+   text doesn't hold weigh nothing. It is fitted on at most MAX_LABELLED rows (the smallest by a hash of the id); the model
+   has BUCKETS weights a domain. Words of a text depend on each other, so the sum of weights is divided by the one of
+   TEMPERATURES that gives the least log loss on the HELD-th part of the labelled rows, which the weights don't see.
+2. A document's posterior is the softmax of the log priors and these sums.
 3. With n tokens and posterior p of document i, rates r >= 0 minimise f = sum over domains of (T_k - t_k)^2 / t_k with
    T_k = sum_i r_i n_i p_ik, by projected gradient from r = 1: r_i <- max(0, r_i - sum_k p_ik c_k). In the metric that n_i
    gives, any gradient step has this form, with one number c_k per domain. c solves G c = T - t, G being the domains' Gram
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 from loomery.llm._common import bounded_labels, materialize
 
 #: Bounds of the labelled sample and of the hashed words.
-MAX_LABELLED, BUCKETS = 10000, 1 << 20
-#: Kept buckets: labelled documents that hold one at least, how many of a tier, and from which log-odds on a tier begins.
-SUPPORT, TOP, TIERS = 8, 400, (2.0, 4.0)
+MAX_LABELLED, BUCKETS = 10000, 1 << 16
+#: Occurrences by which a bucket's shares are drawn to the domains' shares; one in HELD labelled rows chooses the temperature.
+SHRINK, HELD = 10.0, 5
+TEMPERATURES = [2.0**i for i in range(11)]
 ROUNDS, TOLERANCE, HALVINGS = 60, 1e-4, 3
 #: A round that lowers f by less than this share of it is the last.
 LEAST_GAIN = 1e-6
@@ -60,46 +64,68 @@ def bucket(word: Column) -> Column:
 
 
 class DomainModel:
-    """Log priors, and per domain and tier the weight and the kept buckets."""
+    """Log priors, and for each domain but the first the weights of all buckets against the first domain's."""
 
-    def __init__(self, priors: list[float], tiers: list[tuple[int, float, list[int]]]):
-        self.priors, self.tiers = priors, tiers
+    def __init__(self, priors: list[float], weights: list[list[float]], temperature: float = 1.0):
+        self.priors, self.weights, self.temperature = priors, weights, temperature
+
+    def sums(self, held: Column) -> list[Column]:
+        """Of an array of buckets the sum of weights for each domain; 0 for the first."""
+        # Literals of BUCKETS numbers, which the optimizer parses once.
+        arrays = [F.split(F.lit(",".join(f"{x:.9g}" for x in w)), ",").cast("array<double>") for w in self.weights]
+        added = lambda a: lambda total, b: total + F.get(a, b)
+        found = [F.aggregate(held, F.lit(0.0), added(a)) for a in arrays]
+        return [F.lit(0.0), *found] if found else [F.lit(0.0)] * len(self.priors)
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS)) -> DomainModel | None:
     """labelled: doc_id, domain (0 .. k-1)."""
     chosen = bounded_labels(labelled, MAX_LABELLED, ["domain"])  # at most MAX_LABELLED rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    held = materialize(texts.select("domain", F.array_distinct(F.transform(words(F.col("text")), bucket)).alias("buckets")), "labelled")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(HELD)), F.lit(HELD)) == 0
+    held = materialize(texts.select("domain", F.transform(words(F.col("text")), bucket).alias("buckets"), apart.alias("apart")), "labelled")
     sizes = [int(x or 0) for x in held.agg(*[F.count_if(F.col("domain") == j) for j in range(k)]).first()]
     total = sum(sizes)
     if not total:
         return None
-    counts = held.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("domain") == j).alias(f"c{j}") for j in range(k)])
-    counts = materialize(counts.withColumn("held", sum((F.col(f"c{j}") for j in range(1, k)), F.col("c0"))).where(F.col("held") >= SUPPORT), "bucket-counts")
-    tiers = []
-    for j in range(k):
-        here, rest = sizes[j], total - sizes[j]
-        odds = F.ln((F.col(f"c{j}") + 0.5) / (here + 1.0)) - F.ln((F.col("held") - F.col(f"c{j}") + 0.5) / (rest + 1.0))
-        for low, high in zip(TIERS, (*TIERS[1:], math.inf)):
-            fits = counts.withColumn("odds", odds).where((F.col("odds") >= low) & (F.col("odds") < high))
-            best = fits.orderBy(F.desc(f"c{j}"), "bucket").limit(TOP).select("bucket", "odds").collect()  # at most TOP rows
-            if best:
-                tiers.append((j, sum(r.odds for r in best) / len(best), [r.bucket for r in best]))
-    return DomainModel([math.log((s + 1) / (total + k)) for s in sizes], tiers)
+    priors = [math.log((s + 1) / (total + k)) for s in sizes]
+    in_domains = [F.count_if(F.col("domain") == j).alias(f"c{j}") for j in range(k)]
+    counts = held.where("NOT apart").select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*in_domains).collect()  # at most BUCKETS rows
+    model = DomainModel(priors, weights_of([(r.bucket, [r[f"c{j}"] for j in range(k)]) for r in counts], k))
+    scored = held.where("apart").select("domain", *[x.alias(f"s{j}") for j, x in enumerate(model.sums(F.col("buckets")))])
+    losses = scored.agg(*[F.sum(_loss(priors, t)) for t in TEMPERATURES]).first()
+    if losses[0] is not None:
+        model.temperature = min(zip(losses, TEMPERATURES))[1]
+    return model
+
+
+def weights_of(counts: list[tuple[int, list[int]]], k: int) -> list[list[float]]:
+    """The weights of all buckets for the domains from 1 on, from each bucket's occurrences by domain."""
+    whole = [sum(c[j] for _, c in counts) + 1.0 for j in range(k)]
+    share = [x / sum(whole) for x in whole]
+    weights = [[0.0] * BUCKETS for _ in range(k - 1)]
+    for b, c in counts:
+        drawn = [(c[j] + SHRINK * share[j]) / share[j] for j in range(k)]
+        for j in range(1, k):
+            weights[j - 1][b] = math.log(drawn[j] / drawn[0])
+    return weights
+
+
+def _loss(priors: list[float], temperature: float) -> Column:
+    """-log of the posterior of the row's domain, by the sums s0 .. s(k-1)."""
+    logits = [F.col(f"s{j}") / temperature + p for j, p in enumerate(priors)]
+    top = F.greatest(*logits)
+    own = F.element_at(F.array(*logits), F.col("domain") + 1)
+    return top - own + F.ln(sum((F.exp(x - top) for x in logits[1:]), F.exp(logits[0] - top)))
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """Adds n_tokens (words between white space) and p0 .. p(k-1), from each row alone."""
     k = len(model.priors)
-    text = F.coalesce("text", F.lit(""))
-    n = F.size("_held").cast("long")
-    out = docs.withColumn("_held", F.transform(words(text), bucket))
-    found = [F.size(F.array_intersect("_held", F.expr(f"array({','.join(map(str, ids))})"))).alias(f"_t{i}") for i, (_, _, ids) in enumerate(model.tiers)]
+    out = docs.withColumn("_held", F.transform(words(F.coalesce("text", F.lit(""))), bucket))
+    sums = [(x / model.temperature + p).alias(f"_z{j}") for j, (x, p) in enumerate(zip(model.sums(F.col("_held")), model.priors))]
     # A generator of one row keeps the optimizer from putting these expressions in for each of their later uses.
-    out = out.select(*docs.columns, F.explode(F.array(F.struct(n.alias("n_tokens"), *found))).alias("_x")).select(*docs.columns, "_x.*")
-    logits = [sum((F.col(f"_t{i}") * w for i, (d, w, _) in enumerate(model.tiers) if d == j), F.lit(model.priors[j])).alias(f"_z{j}") for j in range(k)]
-    out = out.select("*", *logits)
+    out = out.select(*docs.columns, F.explode(F.array(F.struct(F.size("_held").cast("long").alias("n_tokens"), *sums))).alias("_x")).select(*docs.columns, "_x.*")
     top = F.greatest(*[f"_z{j}" for j in range(k)])
     out = out.select("*", *[F.exp(F.col(f"_z{j}") - top).alias(f"_e{j}") for j in range(k)])
     whole = sum((F.col(f"_e{j}") for j in range(1, k)), F.col("_e0"))
@@ -197,15 +223,17 @@ def mix(docs: DataFrame, labelled: DataFrame, factors: list[float], least: float
     model = learn_domains(docs, labelled, k)
     if model is None:
         return docs
-    rows = materialize(with_posteriors(docs.select("text"), model).drop("text"), "posteriors")
-    present = _sums(rows, F.lit(1.0), k)[0]
-    steps = fit_rates(rows, [f * t for f, t in zip(factors, present)], k)[1]
-    weighed = with_posteriors(docs.toDF(*["text" if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)]), model)
+    # The texts travel with their posteriors, so that each is read and scored once.
+    renamed = docs.toDF(*["text" if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)])
+    rows = materialize(with_posteriors(renamed, model), "posteriors")
+    numbers = rows.select("n_tokens", *[f"p{j}" for j in range(k)])
+    present = _sums(numbers, F.lit(1.0), k)[0]
+    steps = fit_rates(numbers, [f * t for f, t in zip(factors, present)], k)[1]
     # The rounds again, as a fold over their steps: an expression of one size for any number of rounds.
     rounds = F.expr(f"array({','.join('array(' + ','.join(f'{x!r}D' for x in s) + ')' for s in steps)})") if steps else F.expr("cast(array() as array<array<double>>)")
     rate = F.aggregate(rounds, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{j}") * s[j] for j in range(1, k)), F.col("p0") * s[0])))
     first = next((f"own_{i}" for i, c in enumerate(docs.columns) if c == "doc_id"), "text")
     chance = F.pmod(F.xxhash64(first, "text"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(F.greatest(F.lit(least), rate) + chance).cast("int")
-    repeated = weighed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    repeated = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return repeated.select(*[F.col("text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
