@@ -10,15 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and all its work is done on this machine, as in tests.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints"
+#: Keys of more than a HEAVY-th of all rows count as hot; there are at most HEAVY of them.
+HEAVY = 10_000
 #: A Python worker holds about this much text at a time, whatever the size of an Arrow batch.
 SLICE_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; spark.checkpoint.dir where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, which only a local session may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or FALLBACK_SHARED_DIR).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -33,6 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (a row per key; `size`: the key's number of rows), though a key may hold most of the rows.
+
+    Hot keys are at most HEAVY and so may be broadcast: their rows stay where they are. The others meet by a shuffle in which
+    no key has more than total / HEAVY rows. how: inner or left.
+    """
+    hot = F.broadcast(groups.where(F.col(size) > max(1, total // HEAVY)))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= max(1, total // HEAVY)), key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

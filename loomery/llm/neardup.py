@@ -15,7 +15,7 @@ are sought among documents that agree in all rows of one of the bands, which a p
 
 Cases: null and empty texts, and texts without words, are equal to each other and to nothing else; texts under five words are
 one shingle; repeated rows and exact copies share a class; texts of one id are one document; a null id has no class, and its
-document is kept; ties go to the smallest id; other columns are kept by drop_near_duplicates() and ignored by classes(); an
+document is kept; ties go to the smallest id, and of several rows of one id the one of the smallest text is kept; other columns are kept by drop_near_duplicates() and ignored by classes(); an
 empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import dartminhash
-from loomery.llm._common import materialize, slices
+from loomery.llm._common import HEAVY, join_groups, materialize, slices
 
 BANDS, ROWS = 25, 6
 THRESHOLD = 0.8
@@ -107,7 +107,13 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    both = pairs.join(sets.toDF("b", "right"), "b").join(sets.toDF("a", "left"), "a")
+    # A hub's set goes once to each CHUNK of its members, so that no task has all of them. Hubs of over a HEAVY-th of the pairs are few.
+    pairs = materialize(pairs, "pairs")
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.count("*").alias("n")).where(F.col("n") > max(CHUNK, pairs.count() // HEAVY))
+    hot = F.broadcast(materialize(hot.select("a", "parts"), "hubs"))
+    dealt = pairs.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    hubs = sets.toDF("a", "left").join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = dealt.join(sets.toDF("b", "right"), "b").join(hubs, ["a", "part"])
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
@@ -207,8 +213,9 @@ def _compare_buckets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, class_id (the smallest id of its class), copies (rows of the same normal text), kept (doc_id = class_id)."""
     signed = materialize(sign(docs), "signed")
-    nodes = signed.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    members = materialize(signed.join(nodes, "digest", "left").withColumn("bands", F.when(F.col("doc_id") == F.col("node"), F.col("bands"))).drop("digest"), "members")
+    nodes = materialize(signed.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
+    met = join_groups(signed, nodes, "digest", "copies", signed.count(), "left")
+    members = materialize(met.withColumn("bands", F.when(F.col("doc_id") == F.col("node"), F.col("bands"))).drop("digest"), "members")
 
     banded = members.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -242,4 +249,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     repeated = materialize(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    return with_ids(kept, repeated, "left_anti").unionByName(with_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    # Of several rows of an id the one of the smallest text, then of the smallest other columns; an aggregation, as an id may have many.
+    own = with_ids(kept, repeated, "left_semi").select("doc_id", F.struct("*").alias("row"), F.struct("text", F.to_json(F.struct("*"))).alias("order"))
+    return with_ids(kept, repeated, "left_anti").unionByName(own.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomery.llm import bpe, collision, licenses, mixing, mtree, neardup, quality, rollups, sstable, toxicity
 from loomery.llm._common import materialize, table
@@ -18,7 +19,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.rate_documents(docs, quality.learn_ratings(docs, table(spark, sf_dir, "labels")))
+    return quality.rate_documents(docs, quality.learn_ratings(docs, quality.graded(table(spark, sf_dir, "labels")), "grade"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +31,18 @@ def op3_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents, two of them sent again: two tokenizer versions inserted, repeated texts deleted, one version revised."""
-    counts = rollups.latest(materialize(rollups.counted(table(spark, sf_dir, "documents")), "counts"))
+    """Four batches over all documents, two of them sent again: the counts of two tokenizers inserted, repeated texts deleted, one tokenizer's counts revised to hold the end id."""
+    import public_tokenizers
+
+    counts = rollups.counted(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counts = materialize(rollups.latest(counts), "counts")
     copies = materialize(rollups.repeated(counts), "repeated")
     rest = counts.join(copies.select("doc_id"), "doc_id", "left_anti")
     batches = [
-        ("0001-words", rollups.events(counts, "words", "insert", "blank_words")),
-        ("0002-bytes", rollups.events(counts, "bytes", "insert", "bytes")),
-        ("0003-delete-copies", rollups.events(copies, "words", "delete", None).union(rollups.events(copies, "bytes", "delete", None))),
-        ("0004-revise-words", rollups.events(rest, "words", "revise", "plain_words")),
+        ("0001-word_bpe", rollups.events(counts, "word_bpe_49k", "insert", "word_bpe")),
+        ("0002-byte_bpe", rollups.events(counts, "byte_bpe_50k", "insert", "byte_bpe")),
+        ("0003-delete-copies", rollups.events(copies, "word_bpe_49k", "delete").union(rollups.events(copies, "byte_bpe_50k", "delete"))),
+        ("0004-revise-word_bpe", rollups.events(rest, "word_bpe_49k", "revise", F.col("word_bpe") + 1)),
     ]
     store = rollups.RollupStore(spark)
     for name, batch in [*batches, batches[1], batches[3]]:
@@ -71,7 +75,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn_labels(docs, table(spark, sf_dir, "labels")))
 
 
-
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -81,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_sql(), "op4_token_rollups": ROLLUP_SQL, "op8_mtree_topk": MTREE_SQL, "op10_dart_minhash": NEARDUP_SQL}
+    return {"op2_license_scan": license_sql(), "op8_mtree_topk": MTREE_SQL, "op10_dart_minhash": NEARDUP_SQL}
 
 
 #: Whole texts as words: ASCII capitals become small, all ASCII but letters and digits parts words.
@@ -150,17 +153,3 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
-
-ROLLUP_SQL = r"""
-WITH d AS (
-    SELECT doc_id, source, lang, coalesce(text, '') AS text,
-           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 AS is_copy
-    FROM documents WHERE doc_id IS NOT NULL
-), c AS (
-    SELECT source, lang, len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words, strlen(text) AS n_bytes
-    FROM d WHERE NOT is_copy
-)
-SELECT source, lang, 'words' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n_words)::BIGINT AS n_tokens FROM c GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'bytes', count(*)::BIGINT, sum(n_bytes)::BIGINT FROM c GROUP BY source, lang
-"""
