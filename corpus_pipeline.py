@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model gives the best grade with probability 0.5 or more."""
-    return quality.keep_quality(docs, quality.learn_ratings(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_quality(docs, quality.learn_ratings(docs, quality.graded(table(spark, sf_dir, "labels")), "grade"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

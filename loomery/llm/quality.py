@@ -8,7 +8,8 @@ Fitted on the driver over at most MAX_RATED rated texts (the smallest by a hash
 first one and positive steps, so they keep their order.
 
 Cases: a null or empty text has x = 0 and so the grades' base rates; texts under three bytes are padded with blanks; ids and
-ratings that are null take no part in the fit, and of conflicting ratings of an id the larger counts; with fewer than two
+ratings that are null take no part in the fit, and of conflicting ratings of an id the larger counts (graded() names the
+better grade the larger); with fewer than two
 different grades every document has that grade (the lowest possible, 0, without any) and is kept; repeated rows give repeated
 results; other columns are kept or ignored as the function says; an empty table gives an empty result.
 """
@@ -98,6 +99,12 @@ def fit(texts: list[str], ratings: list[int]) -> OrdinalModel:
     return OrdinalModel([int(g) for g in grades], b[:size].astype(np.float32), thresholds)
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id and the grade that quality and toxic name: 0 toxic, 1 junk, 2 clean; null without either."""
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).when(F.col("quality") > 0, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
 def learn_ratings(docs: DataFrame, labels: DataFrame, rating: str = "quality") -> OrdinalModel:
     rated = bounded_labels(labels, MAX_RATED, [rating])  # at most MAX_RATED rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rated), "doc_id")
