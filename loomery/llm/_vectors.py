@@ -57,9 +57,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 def search(rows: DataFrame, queries: DataFrame, k: int, index: Callable, score_type: str) -> DataFrame:
     """Each query's k best of all rows but its own: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
-    index(vectors) returns a function of (query vectors, k, excluded row of each query or -1) that gives, per query, row
-    numbers and scores of its k best in that block. Every task indexes blocks of its own rows and reads the stated queries,
-    block by block, from files in the shared folder; what leaves it is k rows per query and task at most.
+    index(vectors) returns a function of (query vectors, k, the query's own rows, least score that matters for each query)
+    that gives, per query, row numbers and scores of its k best in that block. Every task indexes blocks of its own rows and
+    reads the stated queries, block by block, from files in the shared folder; it keeps the k best scores of each query, so
+    that later blocks need not look for less. What leaves it is k rows per query and block at most.
     """
     folder = fresh_dir(rows.sparkSession, "queries")
     chosen = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -74,6 +75,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, index: Callable, score_t
                 yield from _matrices(batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], np.ndarray] = {}  # by first query and number of components: the k best scores of a block of queries
         for ids, vectors in _blocks(batches):
             order = np.argsort(ids, kind="stable")  # so that the smaller row number is the smaller id
             ids, vectors = ids[order], vectors[order]
@@ -82,15 +84,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int, index: Callable, score_t
                 if wanted.shape[1] != vectors.shape[1]:
                     continue
                 own = [np.arange(a, b) for a, b in zip(np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, "right"))]
-                found = find(wanted, k, own)
+                key = (int(query_ids[0]), wanted.shape[1])
+                known = best.get(key, np.full((len(query_ids), k), -np.inf))
+                found = find(wanted, k, own, known[:, 0])
+                for i, (_, scores) in enumerate(found):
+                    known[i] = np.sort(np.concatenate([known[i], scores.astype(float)]))[-k:]
+                best[key] = known
                 sizes = [len(at) for at, _ in found]
                 at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
                 scores = np.concatenate([s for _, s in found]) if found else np.zeros(0)
                 yield pa.record_batch([pa.array(np.repeat(query_ids, sizes), pa.int64()), pa.array(ids[at], pa.int64()), pa.array(scores, kind)], ["query_id", "vec_id", "score"])
 
     partial = rows.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return partial.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,20 +3,24 @@
 Inner products become distances: a row x of a block gets the component sqrt(M^2 - |x|^2), M being the block's largest norm,
 a query is scaled to length M and gets 0; then |q - x|^2 = 2 M^2 - 2 M (q.x) / |q|. Each of PROJECTIONS random directions
 orders the block's rows by their projection. For a query, a window centred on its own projection is opened in each sorted
-array; rows inside collide. Rows that collide in at least THRESHOLD of the arrays are verified by their exact inner product
-in double precision. Windows then grow (virtual rehashing: the same arrays, a wider radius) until their half width is
-Z times the distance of the k-th best row verified. A row nearer than that falls into a window with probability
-2 Phi(Z) - 1 or more, which exceeds the threshold by DEVIATIONS standard deviations; so each is missed rarely. Nothing is
-capped: all rows past the threshold are verified, and windows that reach all rows end the search.
-
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id; queries
-meet rows of as many components only; all rows with the query's vec_id are its own; repeated vectors are all candidates and
-tie to the smaller vec_id; fewer than k candidates are all returned; an empty table gives an empty result.
+array; rows inside collide. The first windows hold a DENSITY-th
+of the rows, by the density of the projections around the query. Then they grow (virtual rehashing: the same arrays, a wider
+radius) towards Z times the distance that the k-th largest count tells, by a ratio within GROWTH. Rows that collide in at least THRESHOLD of the arrays
+are verified by their exact inner product in double precision. The search ends when the half width is Z times the distance
+of the k-th best row verified: a row nearer than that falls into a window with probability 2 Phi(Z) - 1 or more, which
+exceeds the threshold by DEVIATIONS standard deviations; so few are missed. Nothing is capped: all rows past the threshold are
+verified, and windows that reach all rows end the search. `verified` and `offered` count rows, over all queries.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without vec_id;
+queries meet rows of as many components only; all rows with the query's vec_id are its own, and of several the smallest
+vector is the query; repeated vectors are all candidates and tie to the smaller vec_id; fewer than k candidates are all
+returned; scores are the inner products in double precision, infinite ones included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,61 +28,100 @@ from pyspark.sql import functions as F
 
 from loomery.llm import _vectors
 
-PROJECTIONS, Z, DEVIATIONS = 64, 1.0, 1.6
+PROJECTIONS, Z, DEVIATIONS = 128, 1.3, 1.0
+#: Least and largest growth of a window in a round; rows of a block to one in its first windows.
+GROWTH, DENSITY = (1.1, 2.0), 64
 COLLIDES = math.erf(Z / math.sqrt(2))
 THRESHOLD = math.floor(PROJECTIONS * (COLLIDES - DEVIATIONS * math.sqrt(COLLIDES * (1 - COLLIDES) / PROJECTIONS)))
 SEED = 7
+NORMAL = NormalDist()
 
 
 class CollisionIndex:
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        squares = (vectors * vectors).sum(axis=1)
+        self.vectors, self.verified, self.offered = vectors, 0, 0
+        # Of one scale, so that huge and tiny components don't leave the range of numbers.
+        self.unit = float(np.abs(vectors).max())
+        scaled = vectors / self.unit
+        squares = (scaled * scaled).sum(axis=1)
         self.norm = math.sqrt(float(squares.max()))
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        lifted = np.column_stack([vectors, np.sqrt(np.maximum(0, self.norm**2 - squares))])
-        projected = lifted @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0).T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(projected, self.order.T, axis=0).T)
-
-    def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        n, scale = len(self.vectors), self.norm / np.sqrt((queries * queries).sum(axis=1))
-        centres = (queries * scale[:, None]) @ self.directions[:-1]
-        # The first window: as wide as the k-th of n rows would need, from a sample of rows.
-        sample = self.vectors[:: max(1, n // 512)]
-        near = np.quantile(queries @ sample.T, 1 - min(1.0, 2 * k / n), axis=1) if n else np.zeros(len(queries))
-        half = Z * np.sqrt(np.maximum(1e-12, 2 * self.norm**2 - 2 * self.norm * near * scale / self.norm))
-        lows, highs = self._windows(centres, half)
-        return [self._one(queries[i], k, own[i], float(scale[i]), centres[i], float(half[i]), lows[:, i], highs[:, i]) for i in range(len(queries))]
-
-    def _windows(self, centres: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lows = np.stack([np.searchsorted(s, centres[:, j] - half, "left") for j, s in enumerate(self.sorted)])
-        highs = np.stack([np.searchsorted(s, centres[:, j] + half, "right") for j, s in enumerate(self.sorted)])
-        return lows, highs
-
-    def _one(self, query, k, own, scale, centre, half, low, high) -> tuple[np.ndarray, np.ndarray]:
-        n, order = len(self.vectors), self.order
-        counts = np.bincount(np.concatenate([order[j, a:b] for j, (a, b) in enumerate(zip(low.tolist(), high.tolist()))]), minlength=n)
-        while True:
-            rows = np.flatnonzero(counts >= THRESHOLD)
-            rows = rows[~np.isin(rows, own)] if len(own) else rows
-            rows, scores = _vectors.top(self.vectors[rows] @ query, rows, k)
-            if (low == 0).all() and (high == n).all():
-                return rows, scores
-            if len(rows) == k:
-                need = Z * math.sqrt(max(0.0, 2 * self.norm**2 - 2 * scale * float(scores[-1])))
-                if half >= need:
-                    return rows, scores
-                half = need * (1 + 1e-9)
-            else:
-                half *= 1.5
-            wider = [np.searchsorted(s, (c - half, c + half)) for s, c in zip(self.sorted, centre)]
-            parts = []
-            for j, (a, b) in enumerate(wider):  # only what the windows gain
-                a, b = min(int(a), int(low[j])), max(int(b), int(high[j]))
-                parts += [order[j, a : low[j]], order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(parts), minlength=n)
+        projected = np.column_stack([scaled, np.sqrt(np.maximum(0, self.norm**2 - squares))]) @ self.directions
+        order = np.argsort(projected, axis=0)
+        self.order = np.ascontiguousarray(order.T.astype(np.uint16 if len(vectors) < 1 << 16 else np.int64))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
+
+    def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray], least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        unit = np.abs(queries).max(axis=1, keepdims=True)
+        scaled = queries / unit
+        scale = self.norm / np.sqrt((scaled * scaled).sum(axis=1))
+        centres = (scaled * scale[:, None]) @ self.directions[:-1]
+        n, reach = len(self.vectors), max(1, k // 2, len(self.vectors) // (2 * DENSITY))
+        places = np.stack([np.searchsorted(s, centres[:, j]) for j, s in enumerate(self.sorted)])
+        lows, highs = np.maximum(0, places - reach), np.minimum(n - 1, places + reach)
+        each = np.arange(len(self.sorted))[:, None]
+        self.offered += n * len(queries)
+        half = np.median(np.maximum(self.sorted[each, highs] - centres.T, centres.T - self.sorted[each, lows]), axis=0)
+        # Distances by a score: 2 M^2 - 2 times the score in the block's scale.
+        per_score = scale / (self.unit * unit[:, 0])
+        searches = [_Search(n, own[i], float(least[i])) for i in range(len(queries))]
+        half = np.maximum(half, 1e-9)
+        low = high = places
+        going = np.arange(len(queries))
+        with np.errstate(over="ignore", invalid="ignore"):
+            while going.size:  # all open searches grow their windows in step
+                lo = np.stack([np.searchsorted(s, centres[going, j] - half[going], "left") for j, s in enumerate(self.sorted)])
+                hi = np.stack([np.searchsorted(s, centres[going, j] + half[going], "right") for j, s in enumerate(self.sorted)])
+                lo, hi = np.minimum(lo, low), np.maximum(hi, high)
+                on = np.zeros(len(going), bool)
+                for at, i in enumerate(going.tolist()):
+                    self._count(searches[i], lo[:, at], low[:, at], high[:, at], hi[:, at])
+                    self._verify(searches[i], queries[i], k)
+                    if (lo[:, at] > 0).any() or (hi[:, at] < n).any():
+                        need = self._need(searches[i], k, float(per_score[i]))
+                        on[at] = half[i] < need
+                        half[i] = min(self._wider(searches[i], k, float(half[i])), need * (1 + 1e-9))
+                low, high, going = lo[:, on], hi[:, on], going[on]
+        return [s.found() for s in searches]
+
+    def _count(self, search: "_Search", lo: np.ndarray, low: np.ndarray, high: np.ndarray, hi: np.ndarray) -> None:
+        """Add the rows that the windows gain, from lo to low and from high to hi."""
+        parts = [order[a:b] for order, a, b in zip(self.order, lo.tolist(), low.tolist())]
+        parts += [order[a:b] for order, a, b in zip(self.order, high.tolist(), hi.tolist())]
+        search.counts += np.bincount(np.concatenate(parts), minlength=len(self.vectors))
+
+    def _verify(self, search: "_Search", query: np.ndarray, k: int) -> None:
+        """Score the rows that collide often enough now."""
+        rows = np.flatnonzero((search.counts >= THRESHOLD) & ~search.seen)
+        search.seen[rows] = True
+        self.verified += len(rows)
+        search.rows, search.scores = _vectors.top(np.concatenate([search.scores, self.vectors[rows] @ query]), np.concatenate([search.rows, rows]), k)
+
+    def _need(self, search: "_Search", k: int, per_score: float) -> float:
+        """The half width at which the search may end."""
+        known = max(search.least, float(search.scores[-1])) if len(search.scores) == k else search.least
+        return Z * math.sqrt(max(0.0, 2 * self.norm**2 - 2 * known * per_score)) if math.isfinite(known) else math.inf
+
+
+    def _wider(self, search: "_Search", k: int, half: float) -> float:
+        """Z times the distance at which a window of this half width is hit as often as the k-th of the rows hit most."""
+        n = len(search.counts)
+        hits = min(len(self.sorted) - 0.5, float(np.partition(search.counts, n - min(k, n))[n - min(k, n)]))
+        spread = NORMAL.inv_cdf((1 + hits / len(self.sorted)) / 2)
+        return half * min(GROWTH[1], max(GROWTH[0], Z / spread if spread > 0 else math.inf))
+
+
+class _Search:
+    """What a query has counted and found in a block."""
+
+    def __init__(self, n: int, own: np.ndarray, least: float):
+        self.counts, self.seen, self.least = np.zeros(n, np.int64), np.zeros(n, bool), least
+        self.seen[own] = True
+        self.rows, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.scores >= self.least
+        return self.rows[keep], self.scores[keep]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

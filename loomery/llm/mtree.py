@@ -3,14 +3,18 @@
 Each component x becomes floor(64 x). A row x of a block gets the component sqrt(M^2 - |x|^2), M being the block's largest
 norm, and a query gets 0, so that |q - x|^2 = |q|^2 + M^2 - 2 q.x: the largest product is the smallest distance, which is a
 metric. Each block of rows is bulk-loaded into a tree of pages. A page has a routing object, a covering radius, and the
-distances of its entries to its routing object. Pages wait in a queue by their lower bound, distance less radius. An entry
-whose stored distance differs from the query's distance to the routing object by more than the k-th best distance (plus the
-entry's radius) can't be near enough, and no distance to it is computed. Bounds keep a margin for rounding and pages that
-may tie are read, so the scores, which are whole numbers below 2^53, and their ties are exact.
-
-Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; zero vectors
-do; queries meet rows of as many components only; all rows with the query's vec_id are its own; repeated vectors are all
-candidates and tie to the smaller vec_id; fewer than k candidates are all returned; an empty table gives an empty result.
+distances of its entries to its routing object. Routing objects are spread: each is the entry farthest from those before.
+Pages wait in a queue by their lower bound, distance less radius. An entry whose stored distance differs from the query's
+distance to the routing object by more than the k-th best distance (plus the entry's radius) can't be near enough, and no
+distance to it is computed; the k-th best of the task's earlier blocks bounds the later ones. Bounds keep a margin for
+rounding and pages that may tie are read; scores are sums of whole numbers, so they and their ties are exact. `computed` and
+`offered` count rows, over all queries.
+
+Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; zero and empty
+vectors do; queries meet rows of as many components only; all rows with the query's vec_id are its own, and of several the
+smallest vector is the query; repeated vectors are all candidates and tie to the smaller vec_id; fewer than k candidates are
+all returned; vectors whose products may not fit into a long stop the query with an error; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from loomery.llm import _vectors
 
 #: Rows of a leaf page and entries of an inner page.
-LEAF, FANOUT = 512, 8
-SEED = 11
+LEAF, FANOUT = 64, 16
+#: Rounding of distances, as a share of the largest norm.
+MARGIN = 1e-7
 
 
 @dataclass
@@ -37,20 +42,25 @@ class Page:
     radius: float
     to_parent: np.ndarray
     rows: np.ndarray | None = None
-    vectors: np.ndarray | None = None
     children: list["Page"] | None = None
     routes: np.ndarray | None = None
     slack: np.ndarray | float = 0.0
 
+    def levels(self) -> int:
+        return 1 + max((c.levels() for c in self.children or ()), default=0)
+
 
 class MTree:
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        squares = (vectors * vectors).sum(axis=1)
+        """vectors: whole numbers."""
+        self.computed = self.offered = 0
+        self.largest = int(np.abs(vectors).max(initial=0))
+        # In doubles where these hold all sums, which is faster; else in longs.
+        self.vectors = vectors.astype(np.float64) if self.largest**2 * vectors.shape[1] < 2**53 else vectors
+        points = vectors.astype(np.float64)
+        squares = (points * points).sum(axis=1)
         self.square = float(squares.max())
-        lifted = np.column_stack([vectors, np.sqrt(self.square - squares)])
-        self.margin = 1e-9 * max(1.0, math.sqrt(self.square)) * vectors.shape[1]
-        self.random = np.random.default_rng(SEED)
+        lifted = np.column_stack([points, np.sqrt(self.square - squares)])
         self.top_route = lifted[0]
         self.root = self._load(lifted, np.arange(len(vectors)), lifted[0])
 
@@ -58,52 +68,73 @@ class MTree:
         return np.sqrt(((a - b) ** 2).sum(axis=1))
 
     def _load(self, lifted: np.ndarray, rows: np.ndarray, route: np.ndarray) -> Page:
-        to_route = self._distances(lifted[rows], route)
+        points = lifted[rows]
+        to_route = self._distances(points, route)
         radius = float(to_route.max(initial=0.0))
         if len(rows) <= LEAF or radius == 0.0:
-            return Page(radius, to_route, rows=rows, vectors=self.vectors[rows])
-        seeds = self.random.choice(rows, min(FANOUT, -(-len(rows) // LEAF)), replace=False)
-        points = lifted[rows]
-        # Nearest routing object; squared distances up to what is the same for all.
-        near = (points @ lifted[seeds].T * -2 + (lifted[seeds] ** 2).sum(axis=1)).argmin(axis=1)
-        groups = [(s, rows[near == i]) for i, s in enumerate(seeds) if (near == i).any()]
-        if len(groups) == 1:  # rows too much alike for the routing objects: deal them out evenly
-            groups = [(part[0], part) for part in np.array_split(rows, -(-len(rows) // LEAF))]
-        routes = lifted[[s for s, _ in groups]]
-        children = [self._load(lifted, part, lifted[s]) for s, part in groups]
+            return Page(radius, to_route, rows=rows)
+        # Spread routing objects: each the farthest from those chosen, the first one from the page's own.
+        nearest, near, seeds = to_route, np.full(len(rows), -1), []
+        for s in range(min(FANOUT, -(-len(rows) // LEAF))):
+            seeds.append(int(nearest.argmax()))
+            to_seed = self._distances(points, points[seeds[-1]])
+            closer = (to_seed < nearest) | (near < 0)
+            near[closer] = s
+            nearest = np.where(closer, to_seed, nearest) if s else to_seed
+        groups = [(points[s], rows[near == i]) for i, s in enumerate(seeds) if (near == i).any()]
+        if max(len(part) for _, part in groups) == len(rows):  # rows too much alike for the routing objects: deal them out evenly
+            groups = [(lifted[part[0]], part) for part in np.array_split(rows, min(FANOUT, -(-len(rows) // LEAF)))]
+        routes = np.stack([r for r, _ in groups])
+        children = [self._load(lifted, part, r) for r, part in groups]
         return Page(radius, self._distances(routes, route), children=children, routes=routes, slack=np.array([c.radius for c in children]))
 
-    def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self._one(q, k, o) for q, o in zip(queries, own)]
-
-    def _one(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray], least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        largest = int(np.abs(queries).max(initial=0))
+        bound = largest * self.largest * queries.shape[1]
+        if bound >= 2**63:
+            raise OverflowError(f"inner products of {queries.shape[1]} components up to {largest} and {self.largest} may not fit into a long")
+        if bound < 2**53 and self.vectors.dtype == np.float64:
+            return [self._one(q, q, k, o, x) for q, o, x in zip(queries.astype(np.float64), own, least)]
+        whole = self.vectors.astype(np.int64)
+        return [self._one(q, q.astype(np.float64), k, o, x, whole) for q, o, x in zip(queries, own, least)]
+
+    def _one(self, query: np.ndarray, place: np.ndarray, k: int, own: np.ndarray, floor: float, vectors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        vectors = self.vectors if vectors is None else vectors
         wanted = k + len(own)  # the query's own rows are found as well, and left out at the end
-        lifted = np.append(query, 0.0)
-        far = float(query @ query) + self.square
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        least, reach = -math.inf, math.inf  # score of the last of the best, and its distance with the margin
+        lifted = np.append(place, 0.0)
+        far = float(place @ place) + self.square
+        margin = MARGIN * (math.sqrt(self.square) + math.sqrt(float(place @ place)))
+        best_rows, best = np.zeros(0, np.int64), np.zeros(0, query.dtype)
+        self.offered += len(vectors)
+
+        def reached(score: float) -> float:
+            """The distance of a score, with the margin."""
+            return math.sqrt(max(0.0, far - 2 * score)) + margin if math.isfinite(score) else math.inf
+
+        # A score of earlier blocks may have been rounded to a double.
+        reach = reached(floor - abs(floor) * 1e-15)
         first = math.sqrt(float(((lifted - self.top_route) ** 2).sum()))
         queue = [(max(0.0, first - self.root.radius), 0, first, self.root)]
         pushed = 1
         while queue and queue[0][0] <= reach:
             _, _, distance, page = heapq.heappop(queue)
-            near = np.abs(page.to_parent - distance) <= reach + page.slack
+            near = np.abs(page.to_parent - distance) <= reach + page.slack + margin
             if page.children is None:
-                if near.all():
-                    rows, scores = page.rows, page.vectors @ query
-                else:
-                    rows, scores = page.rows[near], page.vectors[near] @ query
-                keep = scores >= least
-                if keep.any():
-                    best_rows, best = _vectors.top(np.concatenate([best, scores[keep]]), np.concatenate([best_rows, rows[keep]]), wanted)
+                rows = page.rows[near]
+                self.computed += len(rows)
+                scores = vectors[rows] @ query
+                if len(best) == wanted:
+                    keep = scores >= best[-1]
+                    rows, scores = rows[keep], scores[keep]
+                if len(rows):
+                    best_rows, best = _vectors.top(np.concatenate([best, scores]), np.concatenate([best_rows, rows]), wanted)
                     if len(best) == wanted:
-                        least = float(best[-1])
-                        reach = math.sqrt(max(0.0, far - 2 * least)) + self.margin
+                        reach = min(reach, reached(float(best[-1])))
             else:
-                near = np.flatnonzero(near)
-                to = np.sqrt(((page.routes[near] - lifted) ** 2).sum(axis=1)).tolist()
-                for i, d in zip(near.tolist(), to):
-                    bound = d - page.children[i].radius
+                at = np.flatnonzero(near)
+                to = np.sqrt(((page.routes[at] - lifted) ** 2).sum(axis=1)).tolist()
+                for i, d in zip(at.tolist(), to):
+                    bound = d - page.children[i].radius - margin
                     if bound <= reach:
                         heapq.heappush(queue, (max(0.0, bound), pushed, d, page.children[i]))
                         pushed += 1
@@ -114,8 +145,9 @@ class MTree:
 
 
 def whole(rows: DataFrame) -> DataFrame:
-    """Each component x as floor(64 x), in doubles that hold whole numbers."""
-    return rows.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 64).cast("double")))
+    """Each component x as floor(64 x), in longs; an error beyond their range."""
+    out = F.raise_error(F.lit("a component times 64 does not fit into a long"))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.abs(x * 64) < 2.0**63, F.floor(x * 64)).otherwise(out.cast("long"))))
 
 
 def top_products(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
