@@ -77,6 +77,81 @@ def test_collision_finds_all_of_few(spark):
     assert got == [(1, 3), (2, 1)]
 
 
+def clustered(n=4000, d=32, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((100, d))[rng.integers(0, 100, n)] + 0.15 * rng.standard_normal((n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def asked(n):
+    at = np.arange(0, n, 20)
+    return at, [np.array([i]) for i in at], np.full(len(at), -np.inf)
+
+
+def test_mtree_prunes_clustered_vectors_over_several_levels():
+    """Of rows in clusters few distances are computed; of rows without any structure nearly all."""
+    for x, share in ((clustered(), 0.3), (np.random.default_rng(1).uniform(0.9, 1, (2000, 3)), 0.3), (np.random.default_rng(1).standard_normal((2000, 64)), 1.0)):
+        w = np.floor(64 * x).astype(np.int64)
+        tree, (at, own, least) = mtree.MTree(w), asked(len(w))
+        assert tree.root.levels() >= 3
+        for i, (rows, scores) in zip(at, tree(w[at], 20, own, least)):
+            s = w @ w[i]
+            want = best([(j, int(s[j])) for j in range(len(w)) if j != i], 20)
+            assert rows.tolist() == want and scores.tolist() == s[want].tolist()
+        assert tree.computed <= share * tree.offered
+    assert mtree.MTree(np.floor(64 * np.random.default_rng(0).standard_normal((500, 64))).astype(np.int64)).root.levels() >= 2
+
+
+def test_mtree_bounds_of_earlier_blocks_lose_nothing():
+    w = np.floor(64 * clustered(1000)).astype(np.int64)
+    tree, (at, own, least) = mtree.MTree(w), asked(len(w))
+    whole = tree(w[at], 20, own, least)
+    floors = np.array([float(s[9]) for _, s in whole])
+    for (rows, scores), (some, theirs), floor in zip(whole, tree(w[at], 20, own, floors), floors):
+        assert some[: (scores >= floor).sum()].tolist() == rows[scores >= floor].tolist()
+
+
+def test_mtree_of_huge_and_empty_and_repeated_vectors(spark):
+    big = 2.0**24
+    rows = [(0, [big, 1 / 64]), (1, [big, 2 / 64]), (2, [big, 1 / 64]), (20, [1.0, 1.0]), (20, [0.5, 0.5]), (40, []), (41, []), (61, [])]
+    out = {}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in mtree.top_products(frame, collision.every(frame, 20)).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    b = int(64 * big)
+    assert out[0][:2] == [(1, b * b + 2), (2, b * b + 1)] and out[0][2:] == [(20, 64 * b + 64), (20, 32 * b + 32)]
+    assert [v for v, _ in out[20]] == [1, 0, 2] and out[40] == [(41, 0), (61, 0)]
+    with np.testing.assert_raises(Exception):
+        more = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+        mtree.top_products(more, more).collect()
+    with np.testing.assert_raises(Exception):
+        more = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+        mtree.top_products(more, more).collect()
+
+
+def test_collision_counting_verifies_few_rows_of_clusters():
+    """Recall, and the share of rows verified: under a tenth of clustered rows, under a third of rows without structure."""
+    for x, share in ((clustered(), 0.1), (np.random.default_rng(1).standard_normal((6000, 32)), 0.34)):
+        index, (at, own, least) = collision.CollisionIndex(x), asked(len(x))
+        at, own, least = at[:60], own[:60], least[:60]
+        hit = 0
+        for i, (rows, _) in zip(at, index(x[at], 20, own, least)):
+            s = x @ x[i]
+            hit += len(set(rows.tolist()) & set(best([(j, s[j]) for j in range(len(x)) if j != i], 20)))
+        assert hit >= 0.9 * 20 * len(at) and index.verified <= share * index.offered, (hit, index.verified / index.offered)
+
+
+def test_collision_of_none_empty_repeated_and_huge(spark):
+    kind = "vec_id long, embedding array<double>"
+    none = spark.createDataFrame([], kind)
+    assert collision.nearest(none, none).collect() == []
+    rows = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 1.0]), (2, [2.0, 1.0]), (20, []), (40, [3.0, 4.0]), (40, [3.0, 4.0])], kind)
+    out = {}
+    for r in collision.nearest(rows, collision.every(rows, 20)).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(out) == {0, 40} and out[0][0] == 1 and sorted(out[40]) == [0, 1, 2, 2] and len(out[0]) == 5
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -127,6 +202,30 @@ def test_near_duplicate_classes_equal_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_exact_copies_and_hubs_in_parts(spark, monkeypatch):
+    """The same classes whether no, some or all groups of copies and hubs are dealt out."""
+    from loomery.llm import _common
+
+    rng = random.Random(12)
+    texts = ["same words in all of these copies"] * 30 + [*family(rng, 80, 40, 3), *family(rng, 60, 9, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for heavy, chunk in ((1, 256), (3, 4), (10_000, 2)):
+        monkeypatch.setattr(_common, "HEAVY", heavy)
+        monkeypatch.setattr(neardup, "HEAVY", heavy)
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
+        got = {r.doc_id: r for r in neardup.classes(docs).collect()}
+        assert {i: r.class_id for i, r in got.items()} == brute_classes(list(enumerate(texts)))
+        assert got[7].copies == 30
+
+
+def test_several_texts_of_one_id(spark):
+    rows = [(1, "z z z z z z", "a"), (1, "b b b b b b", "b"), (1, "b b b b b b", "a"), (2, "other", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 4):
+        kept = neardup.drop_near_duplicates(docs.repartition(n))
+        assert sorted(map(tuple, kept.collect())) == [(1, "b b b b b b", "a"), (2, "other", "c")]
+
+
 def test_drop_near_duplicates_keeps_one_row_of_each(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f!", "y"), (None, "a b c d e f", "z"), (3, None, "z"), (4, "", "z"), (5, "other words stand here now", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

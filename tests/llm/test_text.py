@@ -1,5 +1,6 @@
 """License scans, toxicity, quality and mixing against brute force and held-out accuracy."""
 
+import math
 import random
 import re
 
@@ -132,6 +133,39 @@ def test_ordinal_model_orders_three_grades(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.selected}
 
 
+def brute_likelihood(x, place, weights, thresholds):
+    """Mean log likelihood of the cumulative-link model with its ridge, row by row."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    total = 0.0
+    for row, g in zip(x, place):
+        below = [0.0, *(sigmoid(t - float(row @ weights)) for t in thresholds), 1.0]
+        total += math.log(max(1e-12, below[g + 1] - below[g]))
+    return total / len(x) - quality.RIDGE / 2 * float(weights @ weights)
+
+
+def test_ordinal_fit_tops_the_likelihood_of_three_grades():
+    """No small step away from the fitted weights and thresholds has a much better likelihood, and the start's is worse."""
+    rng = random.Random(11)
+    texts = [prose(rng, 12, ["zub", "kef"], (0.0, 0.15, 0.4)[i % 3]) for i in range(240)]
+    grades = [i % 3 for i in range(240)]
+    model = quality.fit(texts, grades)
+    x = np.stack([quality.features(t) for t in texts]).astype(float)
+    w, t = model.weights.astype(float), model.thresholds
+    fitted = brute_likelihood(x, grades, w, t)
+    assert t[0] < t[1] and fitted > brute_likelihood(x, grades, 0 * w, np.log([1 / 2, 2])) + 0.5
+    step = np.random.default_rng(0)
+    for _ in range(20):
+        dw, dt = step.standard_normal(len(w)) * 1e-3, step.standard_normal(2) * 1e-2
+        up, down = brute_likelihood(x, grades, w + dw, t + dt), brute_likelihood(x, grades, w - dw, t - dt)
+        assert abs(up - down) / 2 < 0.05 * (np.linalg.norm(dw) + np.linalg.norm(dt)) and max(up, down) < fitted + 2e-3
+
+
+def test_grades_of_both_labels(spark):
+    rows = [(1, 1, 0, 2), (2, 0, 0, 1), (3, 1, 1, 0), (4, 0, 1, 0), (5, None, None, None), (6, 1, None, 2), (7, None, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int, want int")
+    assert [r.grade for r in quality.graded(labels).orderBy("doc_id").collect()] == [w for *_, w in rows]
+
+
 def test_ordinal_gradient_matches_likelihood():
     """With one feature, the fitted curve puts the grades' shares where they are."""
     texts = ["aaaa"] * 50 + ["bbbb"] * 50
@@ -190,6 +224,39 @@ def mixed_docs(spark):
     return docs, labels
 
 
+def brute_posteriors(texts, domains, apart, asked, k=3):
+    """The naive Bayes of the operator, in plain loops: weights by bucket, then the temperature of least loss."""
+    counts, prior = {}, [math.log((domains.count(j) + 1) / (len(domains) + k)) for j in range(k)]
+    for buckets, d, out in zip(texts, domains, apart):
+        for b in () if out else buckets:
+            counts.setdefault(b, [0] * k)[d] += 1
+    whole = [1 + sum(c[j] for c in counts.values()) for j in range(k)]
+    share = [x / sum(whole) for x in whole]
+    weight = lambda b, j: math.log((counts[b][j] + mixing.SHRINK * share[j]) / (sum(counts[b]) + mixing.SHRINK) / share[j]) if b in counts else 0.0
+
+    def posterior(buckets, t):
+        z = [prior[j] + sum(weight(b, j) for b in buckets) / t for j in range(k)]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    loss = lambda t: sum(-math.log(max(1e-300, posterior(b, t)[d])) for b, d, out in zip(texts, domains, apart) if out)
+    t = min(mixing.TEMPERATURES, key=loss)
+    return [posterior(b, t) for b in asked], t
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs, labels = mixed_docs(spark)
+    rows = docs.select("doc_id", F.transform(mixing.words(F.coalesce("text", F.lit(""))), mixing.bucket).alias("b"), (F.pmod(F.xxhash64("doc_id", F.lit(mixing.HELD)), F.lit(mixing.HELD)) == 0).alias("apart"))
+    rows = sorted(rows.where("doc_id IS NOT NULL").collect())
+    domain = lambda i: 1 if i % 6 == 1 else 2 if i % 6 == 2 else 0
+    want, t = brute_posteriors([r.b for r in rows], [domain(r.doc_id) for r in rows], [r.apart for r in rows], [r.b for r in rows])
+    model = mixing.learn_domains(docs, mixing.domain_of(labels))
+    assert model.temperature == t
+    got = {r.doc_id: (r.p0, r.p1, r.p2) for r in mixing.with_posteriors(docs.select("doc_id", "text"), model).collect()}
+    assert all(abs(a - b) < 1e-6 for r, w in zip(rows, want) for a, b in zip(got[r.doc_id], w))
+    assert all(abs(a - math.exp(p) / sum(map(math.exp, model.priors))) < 1e-9 for a, p in zip(got[None], model.priors))
+
+
 def test_posteriors_and_rates(spark):
     docs, labels = mixed_docs(spark)
     out = mixing.rates(docs, mixing.domain_of(labels), [0.8, 0.15, 0.05]).collect()
