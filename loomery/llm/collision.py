@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from loomery.llm import _vectors
 
-PROJECTIONS, Z, DEVIATIONS = 128, 1.3, 1.0
+PROJECTIONS, Z, DEVIATIONS = 64, 1.3, 1.0
 #: Least and largest growth of a window in a round; rows of a block to one in its first windows.
-GROWTH, DENSITY = (1.1, 2.0), 64
+GROWTH, DENSITY = (1.15, 8.0), 16
 COLLIDES = math.erf(Z / math.sqrt(2))
 THRESHOLD = math.floor(PROJECTIONS * (COLLIDES - DEVIATIONS * math.sqrt(COLLIDES * (1 - COLLIDES) / PROJECTIONS)))
 SEED = 7
@@ -85,10 +85,15 @@ class CollisionIndex:
         return [s.found() for s in searches]
 
     def _count(self, search: "_Search", lo: np.ndarray, low: np.ndarray, high: np.ndarray, hi: np.ndarray) -> None:
-        """Add the rows that the windows gain, from lo to low and from high to hi."""
-        parts = [order[a:b] for order, a, b in zip(self.order, lo.tolist(), low.tolist())]
-        parts += [order[a:b] for order, a, b in zip(self.order, high.tolist(), hi.tolist())]
-        search.counts += np.bincount(np.concatenate(parts), minlength=len(self.vectors))
+        """Count collisions in the windows lo to hi: add what they gained over low to high, or take away what is outside, whichever is less."""
+        n, arrays = len(self.vectors), list(zip(self.order, lo.tolist(), low.tolist(), high.tolist(), hi.tolist()))
+        inside = int((hi - lo).sum())
+        if n * len(arrays) - inside < inside - int((high - low).sum()):
+            outside = [order[:a] for order, a, _, _, _ in arrays] + [order[b:] for order, _, _, _, b in arrays]
+            search.counts = len(arrays) - np.bincount(np.concatenate(outside), minlength=n)
+        else:
+            gained = [order[a:b] for order, a, b, _, _ in arrays] + [order[a:b] for order, _, _, a, b in arrays]
+            search.counts += np.bincount(np.concatenate(gained), minlength=n)
 
     def _verify(self, search: "_Search", query: np.ndarray, k: int) -> None:
         """Score the rows that collide often enough now."""

@@ -37,15 +37,20 @@ MARGIN = 1e-7
 
 @dataclass
 class Page:
-    """rows of a leaf, or child pages; to_parent: the distances of these entries to this page's routing object; slack: their own radii."""
+    """rows and vectors of a leaf, or child pages; to_parent: the distances of these entries to this page's routing object; slack: their own radii."""
 
     radius: float
     to_parent: np.ndarray
     rows: np.ndarray | None = None
+    vectors: np.ndarray | None = None
     children: list["Page"] | None = None
     routes: np.ndarray | None = None
+    squares: np.ndarray | None = None
     slack: np.ndarray | float = 0.0
 
+    def __post_init__(self):
+        self.middle, self.most = float(np.median(self.to_parent)), float(self.to_parent.max())
+
     def levels(self) -> int:
         return 1 + max((c.levels() for c in self.children or ()), default=0)
 
@@ -72,7 +77,7 @@ class MTree:
         to_route = self._distances(points, route)
         radius = float(to_route.max(initial=0.0))
         if len(rows) <= LEAF or radius == 0.0:
-            return Page(radius, to_route, rows=rows)
+            return Page(radius, to_route, rows=rows, vectors=self.vectors[rows])
         # Spread routing objects: each the farthest from those chosen, the first one from the page's own.
         nearest, near, seeds = to_route, np.full(len(rows), -1), []
         for s in range(min(FANOUT, -(-len(rows) // LEAF))):
@@ -86,7 +91,7 @@ class MTree:
             groups = [(lifted[part[0]], part) for part in np.array_split(rows, min(FANOUT, -(-len(rows) // LEAF)))]
         routes = np.stack([r for r, _ in groups])
         children = [self._load(lifted, part, r) for r, part in groups]
-        return Page(radius, self._distances(routes, route), children=children, routes=routes, slack=np.array([c.radius for c in children]))
+        return Page(radius, self._distances(routes, route), children=children, routes=routes, squares=(routes * routes).sum(axis=1), slack=np.array([c.radius for c in children]))
 
     def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray], least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         largest = int(np.abs(queries).max(initial=0))
@@ -95,17 +100,16 @@ class MTree:
             raise OverflowError(f"inner products of {queries.shape[1]} components up to {largest} and {self.largest} may not fit into a long")
         if bound < 2**53 and self.vectors.dtype == np.float64:
             return [self._one(q, q, k, o, x) for q, o, x in zip(queries.astype(np.float64), own, least)]
-        whole = self.vectors.astype(np.int64)
-        return [self._one(q, q.astype(np.float64), k, o, x, whole) for q, o, x in zip(queries, own, least)]
+        return [self._one(q, q.astype(np.float64), k, o, x) for q, o, x in zip(queries, own, least)]
 
-    def _one(self, query: np.ndarray, place: np.ndarray, k: int, own: np.ndarray, floor: float, vectors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        vectors = self.vectors if vectors is None else vectors
+    def _one(self, query: np.ndarray, place: np.ndarray, k: int, own: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
         wanted = k + len(own)  # the query's own rows are found as well, and left out at the end
         lifted = np.append(place, 0.0)
-        far = float(place @ place) + self.square
-        margin = MARGIN * (math.sqrt(self.square) + math.sqrt(float(place @ place)))
+        length = float(place @ place)
+        far = length + self.square
+        margin = MARGIN * (math.sqrt(self.square) + math.sqrt(length))
         best_rows, best = np.zeros(0, np.int64), np.zeros(0, query.dtype)
-        self.offered += len(vectors)
+        self.offered += len(self.vectors)
 
         def reached(score: float) -> float:
             """The distance of a score, with the margin."""
@@ -118,21 +122,27 @@ class MTree:
         pushed = 1
         while queue and queue[0][0] <= reach:
             _, _, distance, page = heapq.heappop(queue)
-            near = np.abs(page.to_parent - distance) <= reach + page.slack + margin
             if page.children is None:
-                rows = page.rows[near]
+                rows, vectors = page.rows, page.vectors
+                # Else half of the entries may be near enough, and the whole page is scored at once.
+                if distance - page.middle > reach + margin or page.most - distance > reach + margin:
+                    near = np.abs(page.to_parent - distance) <= reach + margin
+                    if not near.any():
+                        continue
+                    rows, vectors = rows[near], vectors[near]
                 self.computed += len(rows)
-                scores = vectors[rows] @ query
+                scores = (vectors if vectors.dtype == query.dtype else vectors.astype(query.dtype)) @ query
                 if len(best) == wanted:
+                    if scores.max() < best[-1]:
+                        continue
                     keep = scores >= best[-1]
                     rows, scores = rows[keep], scores[keep]
-                if len(rows):
-                    best_rows, best = _vectors.top(np.concatenate([best, scores]), np.concatenate([best_rows, rows]), wanted)
-                    if len(best) == wanted:
-                        reach = min(reach, reached(float(best[-1])))
+                best_rows, best = _vectors.top(np.concatenate([best, scores]), np.concatenate([best_rows, rows]), wanted)
+                if len(best) == wanted:
+                    reach = min(reach, reached(float(best[-1])))
             else:
-                at = np.flatnonzero(near)
-                to = np.sqrt(((page.routes[at] - lifted) ** 2).sum(axis=1)).tolist()
+                at = np.flatnonzero(np.abs(page.to_parent - distance) <= reach + page.slack + margin)
+                to = np.sqrt(np.maximum(0.0, page.squares[at] + length - 2 * (page.routes[at] @ lifted))).tolist()
                 for i, d in zip(at.tolist(), to):
                     bound = d - page.children[i].radius - margin
                     if bound <= reach:
