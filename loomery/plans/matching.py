@@ -233,6 +233,18 @@ def decision_tree(training: DataFrame, points: DataFrame, depth: int = 4) -> Dat
     return model.transform(vectors.transform(points)).withColumn("accepted", F.col("prediction") == 1.0).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def split_points(points: DataFrame, fields: DataFrame, tested: Column) -> tuple[DataFrame, DataFrame]:
+    """Labelled features of the sources to train on and of those to test (a predicate on fields)."""
+    own = points.join(fields.select("field_id", tested.alias("_tested")), "field_id")
+    return own.where("NOT _tested").drop("_tested"), own.where("_tested").drop("_tested")
+
+
+def tree_test(points: DataFrame, fields: DataFrame, tested: Column, depth: int = 4) -> DataFrame:
+    """Precision, recall and F1 of a tree on sources that it wasn't fitted on: one row."""
+    training, test = split_points(points, fields, tested)
+    return precision_recall(decision_tree(training, test, depth), F.col("accepted"), F.col("label") > 0)
+
+
 def precision_recall(judged: DataFrame, accepted: Column, truth: Column) -> DataFrame:
     """accepted, rejected, false positives and negatives, precision, recall, F1: one row."""
     x = judged.agg(F.count_if(accepted).alias("n_accepted"), F.count_if(~accepted).alias("n_rejected"), F.count_if(accepted & ~truth).alias("n_fp"), F.count_if(~accepted & truth).alias("n_fn"), F.count_if(truth).alias("n_true"))

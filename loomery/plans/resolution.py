@@ -107,10 +107,12 @@ class Prepared:
 def prepare(cells: DataFrame, before: Prepared | None = None, truncate: bool = True, tokens=text.bare_tokens, value_cut: float = VALUE_CUT, token_cut: float = TOKEN_CUT) -> Prepared:
     """From mapped cells to weighted tokens and numbers. Earlier entities keep the weights of their time.
 
-    What later joins read several times is written to the shared folder once.
+    An attribute keeps the type of the batch that brought it; one that the state lacks gets its type from this batch. What later joins read several times is written to the shared folder once.
     """
     data = written(joined_values(cells), "values")
-    types = attribute_types(cells) if before is None else before.types
+    types = attribute_types(cells)
+    if before is not None:
+        types = before.types.unionByName(types.join(before.types.select("tag_id"), "tag_id", "left_anti"))
     tags, values = tag_counts(data, before and before.tags), value_counts(data, before and before.values)
     data = drop_common_values(data, tags, values, value_cut) if truncate else data
     types, tags = written(types, "types"), written(tags, "tags")

@@ -34,6 +34,30 @@ def source_fields(fields: DataFrame, cells: DataFrame) -> DataFrame:
     return x.orderBy(F.round("sort_factor", 2), "avg_val_len", "field_id")
 
 
+def source_entities(cells: DataFrame, fields: DataFrame) -> DataFrame:
+    """source_id, entity_id, n_values of the entities of each source."""
+    own = cells.join(fields.select("field_id", "source_id"), "field_id")
+    return own.groupBy("source_id", "entity_id").agg(F.count("*").alias("n_values"))
+
+
+def metadata(meta: DataFrame, key: str, n: Column | int) -> DataFrame:
+    """meta_name and value of a source or field (key: source_id or field_id), in the order of names."""
+    return meta.where(F.col(key) == n).select("meta_name", "value").orderBy("meta_name")
+
+
+def source_stats(fields: DataFrame, cells: DataFrame) -> DataFrame:
+    """source_id, n_fields, n_entities, n_values."""
+    own = cells.join(fields.select("field_id", "source_id"), "field_id")
+    counts = own.groupBy("source_id").agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_values"))
+    return fields.groupBy("source_id").agg(F.count("*").alias("n_fields")).join(counts, "source_id", "left").fillna(0, ["n_entities", "n_values"])
+
+
+def attribute_overview(attributes: DataFrame, mappings: DataFrame) -> DataFrame:
+    """global_id, name, n_fields mapped with an affinity over 0, in the order of names."""
+    mapped = affinities(mappings).where("affinity > 0").groupBy("global_id").agg(F.count("*").alias("n_fields"))
+    return attributes.join(mapped, "global_id", "left").fillna(0, ["n_fields"]).orderBy("name")
+
+
 def table_preview(cells: DataFrame, columns: dict[int, str], n: int = 10, first: int = 1000, seed: int = 0) -> DataFrame:
     """n entities out of the first ones, wide again, missing cells as ''."""
     chosen = sample(cells.select("entity_id").distinct().orderBy("entity_id").limit(first), n, "entity_id", seed=seed)

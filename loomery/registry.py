@@ -5,6 +5,7 @@ Floats are rounded to six digits on both sides. Fixtures (mappings, dictionary,
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable
 
@@ -63,6 +64,12 @@ def _grams_sql(expr: str, q: int = 3) -> str:
     return f"flatten(list_transform({terms}, lambda t, i: {each}))"
 
 
+def _parts_sql(name: str) -> str:
+    """Delimited parts of names in which letters change to digits, and small letters to capitals, at marks only."""
+    points = f"list_concat([0], list_filter(range(1, len({name}) + 1), lambda i: i = len({name}) OR regexp_full_match(substr({name}, i, 1), '[\\W_]') OR regexp_full_match(substr({name}, i + 1, 1), '[\\W_]')))"
+    return f"list_distinct(flatten(list_transform({points}, lambda a: list_transform(list_filter({points}, lambda b: b > a), lambda b: {name}[a + 1:b]))))"
+
+
 def _field(column: str) -> tuple[int, str]:
     table = next(t for t, cs in COLUMNS.items() if column in cs)
     return 100 * eav.SOURCES[table][0] + COLUMNS[table].index(column) + 1, table
@@ -154,7 +161,8 @@ def sql(query: str) -> str:
 
     need(query)
     parts = [f"{name} AS ({body})" for name, body in CTES.items() if name in needed]
-    return f"WITH {', '.join(parts)} {query}" if parts else query
+    own = re.match(r"\s*\w+ AS \(", query)  # a query that begins with parts of its own
+    return f"WITH {', '.join(parts)}{',' if own else ''} {query}" if parts else f"WITH {query}" if own else query
 
 
 def register(name: str, query: str | None = None):
@@ -316,7 +324,19 @@ def dist_stats(spark, sf):
     return matching.dist_stats(_cells(spark, sf, as_double=True)).select("field_id", "n", _r("mean", 4), _r("variance", 2))
 
 
-@register("dist_pvalue")
+#: Welch's two-sided p as an integral over the angle, by Simpson's rule in 2,000 steps.
+WELCH_SQL = """
+st AS (SELECT field_id, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM numbers GROUP BY 1 HAVING count(*) > 1),
+pr AS (SELECT l.field_id, a.global_id, a.affinity, (l.m - g.m) ** 2 / (l.v / l.n + g.v / g.n) AS t2, (l.v / l.n + g.v / g.n) ** 2 / ((l.v / l.n) ** 2 / (l.n - 1) + (g.v / g.n) ** 2 / (g.n - 1)) AS df
+    FROM st l, st g JOIN affinity a ON a.local_id = g.field_id WHERE l.v > 0 AND g.v > 0),
+an AS (SELECT *, atan(sqrt(t2 / df)) AS lo, least(pi() / 2, atan(sqrt(t2 / df)) + 12 / sqrt(df)) AS hi FROM pr),
+pv AS (SELECT field_id, global_id, affinity, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (hi - lo) / 6000
+    * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp((df - 1) * ln(greatest(1e-300, cos(lo + (hi - lo) * i / 2000)))))) AS p FROM an)
+SELECT f.source_id, field_id, global_id, 'dist' AS method, round(max(p * affinity), 6) AS score FROM pv JOIN fields f USING (field_id) WHERE 1 - p < 1 GROUP BY 1, 2, 3
+"""
+
+
+@register("dist_pvalue", WELCH_SQL)
 def dist_pvalue(spark, sf):
     return matching.dist_scores(_cells(spark, sf, as_double=True), _fields(spark), _mappings(spark)).withColumn("score", _r("score"))
 
@@ -380,13 +400,36 @@ def schema_map(spark, sf):
     return found["best"].withColumn("score", _r("score"))
 
 
-@register("weight_search")
+def _weights_sql() -> str:
+    rng, tries = random.Random(0), 20
+    rows = ", ".join(f"({t}, '{m}', {rng.random()!r}::DOUBLE)" for t in range(tries) for m in matching.METHODS)
+    return f"""
+tried AS (SELECT * FROM (VALUES {rows}) AS w(try, method, weight)),
+composed AS (SELECT try, field_id, global_id, sum((score * weight) ** 2) AS score FROM scores JOIN tried USING (method) GROUP BY ALL),
+judged AS (SELECT c.try, count_if(c.global_id = t.global_id) / count(*) AS rate FROM (SELECT *, rank() OVER (PARTITION BY try, field_id ORDER BY round(score, 9) DESC) AS r FROM composed) c LEFT JOIN truth t USING (field_id) WHERE r = 1 GROUP BY 1)
+SELECT try::INT AS try, max(weight) FILTER (method = 'qgrams') AS qgrams, max(weight) FILTER (method = 'mdl') AS mdl, max(weight) FILTER (method = 'ngrams') AS ngrams, max(weight) FILTER (method = 'dist') AS dist, round(max(rate), 6) AS success_rate
+FROM tried JOIN judged USING (try) GROUP BY try"""
+
+
+@register("weight_search", _weights_sql())
 def weight_search(spark, sf):
     truth = spark.createDataFrame(TRUTH, "field_id long, global_id long")
-    return jobs.random_weight_search(_plain_scores(spark, sf), truth)
+    return jobs.random_weight_search(_plain_scores(spark, sf), truth).withColumn("success_rate", _r("success_rate"))
+
+
+V0_SQL = f"""
+vc AS (SELECT s_suppkey AS id, 1 AS tag, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 2, s_acctbal::VARCHAR FROM supplier UNION ALL SELECT s_suppkey, 3, s_nationkey::VARCHAR FROM supplier),
+vt AS (SELECT id, tag, token, log10(count(*) + 1) AS tf FROM (SELECT id, tag, unnest({_grams_sql('value')}) AS token FROM vc WHERE value IS NOT NULL) GROUP BY ALL),
+vw AS (SELECT id, tag, token, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id, tag)) AS w FROM vt),
+vs AS (SELECT a.id AS id_a, b.id AS id_b, a.tag, sum(a.w * b.w) AS score FROM vw a JOIN vw b ON a.token = b.token AND a.tag = b.tag AND a.id <> b.id GROUP BY 1, 2, 3),
+vm AS (SELECT tag, count_if(is_m) AS n, avg(score) FILTER (is_m) AS m, avg(score) FILTER (NOT is_m) AS u FROM (SELECT tag, score, a.s_nationkey = b.s_nationkey AND floor(a.s_acctbal / 500.0) = floor(b.s_acctbal / 500.0) AS is_m FROM vs JOIN supplier a ON a.s_suppkey = id_a JOIN supplier b ON b.s_suppkey = id_b WHERE id_a < id_b) GROUP BY 1),
+vq AS (SELECT tag, CASE WHEN tag = 1 THEN 10 ELSE 1 END * (1 - least(n, 100) / 100) + coalesce(m / u, 1) * least(n, 100) / 100 AS weight FROM vm),
+vz AS (SELECT id, sum(weight) AS size FROM (SELECT DISTINCT id, tag FROM vc WHERE value IS NOT NULL) JOIN vq USING (tag) GROUP BY 1)
+SELECT id_a, id_b, round(sum(score * weight) / greatest(any_value(x.size), any_value(y.size)), 6) AS similarity FROM vs JOIN vq USING (tag) JOIN vz x ON x.id = id_a JOIN vz y ON y.id = id_b GROUP BY 1, 2
+"""
 
 
-@register("v0_dedup")
+@register("v0_dedup", V0_SQL)
 def v0_dedup(spark, sf):
     """Suppliers by all attributes, with weights learned from suppliers of one nation and balance range."""
     s = _table(spark, sf, "supplier").withColumn("cell", F.floor(F.col("s_acctbal") / 500.0))
@@ -395,10 +438,20 @@ def v0_dedup(spark, sf):
     return jobs.dedup_all(_suppliers(spark, sf), matches, important=F.col("tag_id") == 1)[0].withColumn("similarity", _r("similarity"))
 
 
-@register("factor_names")
+SYNONYMS = [(1, "name"), (2, "nation"), (3, "acct"), (4, "segment"), (5, "price"), (6, "brand"), (8, "type")]
+THESAURUS = [("mkt", "market"), ("retail", "sale"), ("key", "identifier"), ("bal", "balance")]
+FACTOR_SQL = f"""
+syn AS ({_values(SYNONYMS, "global_id, synonym")}), thes AS ({_values(THESAURUS, "token, term")}),
+rest AS (SELECT field_id, a.global_id, replace(local_name, synonym, '') AS leftover FROM fields JOIN affinity a ON a.local_id = field_id JOIN syn ON syn.global_id = a.global_id WHERE contains(local_name, synonym)),
+parts AS (SELECT field_id, global_id, unnest({_parts_sql('leftover')}) AS part FROM rest)
+SELECT field_id, global_id, part, term FROM parts JOIN thes ON lower(part) = token
+"""
+
+
+@register("factor_names", FACTOR_SQL)
 def factor_names(spark, sf):
-    synonyms = spark.createDataFrame([(1, "name"), (2, "nation"), (3, "acct"), (4, "segment"), (5, "price"), (6, "brand"), (8, "type")], "global_id long, synonym string")
-    thesaurus = spark.createDataFrame([("mkt", "market"), ("retail", "sale"), ("key", "identifier"), ("bal", "balance")], "token string, term string")
+    synonyms = spark.createDataFrame(SYNONYMS, "global_id long, synonym string")
+    thesaurus = spark.createDataFrame(THESAURUS, "token string, term string")
     return matching.factor_names(_fields(spark), _mappings(spark), synonyms, thesaurus)["gems"]
 
 
@@ -558,7 +611,16 @@ def random_sources(spark, sf):
     return eav.random_sources(sources, loaded, 5, seed="/7")
 
 
-@register("random_pairs")
+#: md5 as both engines see it: the first 12 hexadecimal digits as a number.
+HASHED = "list_sum(list_transform(range(1, 13), lambda d: (instr('0123456789abcdef', substr(md5({0}), d, 1)) - 1)::HUGEINT * (16::HUGEINT ** (12 - d))::HUGEINT))::BIGINT"
+PAIRS_SQL = f"""
+own AS (SELECT entity_id, row_number() OVER (ORDER BY md5(entity_id || '/0'), entity_id) - 1 AS k FROM (SELECT DISTINCT p_partkey AS entity_id FROM part ORDER BY md5(p_partkey || '/0'), 1 LIMIT 10000)),
+drawn AS (SELECT i AS id, {HASHED.format("'0/a/' || i")} % m AS ka, {HASHED.format("'0/b/' || i")} % m AS kb FROM range(4000) t(i), (SELECT count(*) AS m FROM own) WHERE m > 1)
+SELECT a.entity_id AS id_a, b.entity_id AS id_b FROM drawn JOIN own a ON a.k = ka JOIN own b ON b.k = kb WHERE ka <> kb GROUP BY 1, 2 ORDER BY min(id) LIMIT 2000
+"""
+
+
+@register("random_pairs", PAIRS_SQL)
 def random_pairs(spark, sf):
     return learning.random_pairs(_table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id")), n=2000)
 
@@ -599,16 +661,34 @@ def question_bins(spark, sf):
     return x.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.first("range_start"), 4).alias("range_start"))
 
 
-@register("questions")
+QUESTIONS_SQL = """
+r AS (SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b, -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000.0) = floor(b.s_acctbal / 1000.0) AND a.s_suppkey < b.s_suppkey),
+e AS (SELECT min(s) AS lo, (max(s) + 1e-7 - min(s)) / 3 AS w FROM r),
+b AS (SELECT id_a, id_b, floor((s - lo) / w)::INT AS bin, lo, w FROM r, e)
+SELECT id_a, id_b, 1::BIGINT AS tag_id, bin, round(lo + bin * w, 4) AS range_start, round(lo + (bin + 1) * w, 4) AS range_end, NULL::VARCHAR AS human_label
+FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(id_a || '/' || id_b || '/0'), id_a, id_b) AS place FROM b) WHERE place <= 17
+"""
+
+
+@register("questions", QUESTIONS_SQL)
 def questions(spark, sf):
-    return learning.questions(_labelled_similarities(spark, sf)[1])
+    return learning.questions(_labelled_similarities(spark, sf)[1]).withColumns({c: F.round(c, 4) for c in ("range_start", "range_end")})
+
+
+THRESHOLD_SQL = """
+d AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+r AS (SELECT -abs(a.s_acctbal - b.s_acctbal) AS s FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000.0) = floor(b.s_acctbal / 1000.0) AND a.s_suppkey < b.s_suppkey),
+p AS (SELECT DISTINCT s FROM (SELECT s, row_number() OVER (ORDER BY s) AS place, count(*) OVER () AS n FROM d) WHERE place % ceil(n / 200)::BIGINT = 0),
+x AS (SELECT s, (SELECT count(*) FROM d WHERE d.s >= p.s) / (SELECT count(*) FROM d) AS m, (SELECT count(*) FROM r WHERE r.s >= p.s) / (SELECT count(*) FROM r) AS u FROM p)
+SELECT 1::BIGINT AS tag_id, round(min(s), 6) AS threshold FROM x WHERE m > 0.2 AND m > 0.5 * u HAVING count(*) > 0
+"""
 
 
-@register("learned_threshold")
+@register("learned_threshold", THRESHOLD_SQL)
 def learned_threshold(spark, sf):
     duplicates, random = _labelled_similarities(spark, sf)
     config = resolution.Config(rel_perf_threshold=0.5)
-    return learning.thresholds(duplicates, duplicates.count(), random, random.count(), config)
+    return learning.thresholds(duplicates, duplicates.count(), random, random.count(), config).withColumn("threshold", _r("threshold"))
 
 
 # The older resolution
@@ -731,9 +811,10 @@ def substrs(spark, sf):
     return _table(spark, sf, "part").select("p_type").distinct().select("p_type", F.explode(text.substrs("p_type")).alias("part"))
 
 
-@register("dsubstrs")
+@register("dsubstrs", f"SELECT DISTINCT name, unnest({_parts_sql('name')}) AS part FROM (SELECT p_brand AS name FROM part UNION SELECT o_orderpriority FROM orders UNION SELECT s_name FROM supplier)")
 def dsubstrs(spark, sf):
-    return _fields(spark).select("field_id", F.explode(text.dsubstrs("local_name")).alias("part"))
+    names = [_table(spark, sf, t).select(F.col(c).alias("name")) for t, c in (("part", "p_brand"), ("orders", "o_orderpriority"), ("supplier", "s_name"))]
+    return names[0].union(names[1]).union(names[2]).distinct().select("name", F.explode(text.dsubstrs("name")).alias("part"))
 
 
 @register("remove_substrs", "SELECT DISTINCT p_name, regexp_replace(regexp_replace(p_name, 'ring', ''), 'red', '') AS rest FROM part")

@@ -86,6 +86,28 @@ def raw_source(data: DataFrame, source_id: Column | int) -> dict[str, DataFrame]
     }
 
 
+def import_random(data: DataFrame, loaded: DataFrame, n: int, max_values: int = 10_000_000, seed: int = 0) -> dict[str, DataFrame]:
+    """n sources of raw cells (source_id, entity_id, name, value) that aren't loaded, drawn by a seeded hash, and their entities, fields and cells."""
+    sizes = data.groupBy("source_id").agg(F.count("value").alias("n_values"))
+    drawn = F.broadcast(random_sources(sizes, loaded, n, max_values, seed).select("source_id"))  # n rows
+    own = data.join(drawn, "source_id")
+    return {"sources": drawn, **raw_source(own, F.col("source_id"))}
+
+
+def unload(tables: dict[str, DataFrame], sources: DataFrame) -> dict[str, DataFrame]:
+    """The tables without these sources: what has a source_id by it, what has none by the fields and entities that go."""
+    gone = sources.select("source_id").distinct()
+    keys = {"source_id": gone}
+    for name, key in (("fields", "field_id"), ("entities", "entity_id")):
+        if name in tables:
+            keys[key] = tables[name].join(gone, "source_id", "left_semi").select(key).distinct()
+    out = {}
+    for name, rows in tables.items():
+        key = next((k for k in ("source_id", "field_id", "entity_id") if k in rows.columns and k in keys), None)
+        out[name] = rows.join(keys[key], key, "left_anti") if key else rows
+    return out
+
+
 def attribute_dictionary(att_id: int, df: DataFrame, column: str) -> DataFrame:
     return df.select(F.lit(att_id).cast("long").alias("att_id"), F.col(column).cast("string").alias("value")).where("value IS NOT NULL")
 

@@ -40,7 +40,8 @@ class ResolutionState:
         for p in PARTS:
             getattr(prepared, p).write.mode("overwrite").parquet(f"{staging}/{p}")
         clusters.write.mode("overwrite").parquet(f"{staging}/clusters")
-        self._fs.rename(self._path(staging), self._path(f"{self.path}/v-{version}"))
+        if not self._fs.rename(self._path(staging), self._path(f"{self.path}/v-{version}")):
+            raise OSError(f"version {version} of {self.path} could not be put in place")
 
 
 def resolve_batch(state: ResolutionState, features: DataFrame, thresholds: DataFrame, config: Config = Config(), tokens=text.bare_tokens) -> Callable[[DataFrame, int], None]:
