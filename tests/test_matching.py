@@ -155,3 +155,20 @@ def test_jobs(spark, none):
     similar, weights = jobs.dedup_all(people, spark.createDataFrame([(1, 2)], "entity_a long, entity_b long"))
     scores = {(r.id_a, r.id_b): r.similarity for r in similar.collect()}
     assert scores[1, 2] == scores[2, 1] > 0.5 and weights.count() == 1
+
+
+def test_unload_and_random_import(spark):
+    tables = {
+        "fields": spark.createDataFrame([(1, 1), (2, 2)], "field_id long, source_id long"),
+        "entities": spark.createDataFrame([(10, 1), (20, 2)], "entity_id long, source_id long"),
+        "cells": spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "field_id long, entity_id long, value string"),
+        "similarities": spark.createDataFrame([(10, 0.5), (20, 0.5)], "entity_id long, score double"),
+        "methods": spark.createDataFrame([("mdl",)], "method string"),
+    }
+    left = eav.unload(tables, spark.createDataFrame([(1,)], "source_id long"))
+    assert {n: rows.count() for n, rows in left.items()} == {"fields": 1, "entities": 1, "cells": 1, "similarities": 1, "methods": 1} and left["cells"].first().field_id == 2
+    raw = spark.createDataFrame([(s, e, "n", f"v{s}{e}") for s in range(6) for e in range(3)], "source_id long, entity_id long, name string, value string")
+    loaded = spark.createDataFrame([(0,), (1,)], "source_id long")
+    drawn = eav.import_random(raw, loaded, 2)
+    assert drawn["sources"].count() == 2 and drawn["cells"].count() == 6 and drawn["cells"].where("source_id < 2").count() == 0
+    assert eav.import_random(raw, loaded, 2, max_values=2)["cells"].count() == 0

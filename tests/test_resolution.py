@@ -248,3 +248,13 @@ def test_detail_screens(spark):
     found = serving.field_mappings(fields, mapped, composite, attributes)
     assert {r.local_name: (r.match, r.score, r.is_mapping) for r in found.collect()} == {"Price": ("amount", 0.9, False), "Cost": ("amount", 2.0, True)}
     assert serving.field_mappings_by_name(found, "%c%", 10).count() == 2 and serving.field_mappings_by_name(found, "cost", 10, exact=True).count() == 1
+
+
+def test_attributes_of_a_later_batch(spark):
+    """An attribute that the state lacks gets its type and tokens from the batch that brings it; a known one keeps its type."""
+    first = spark.createDataFrame([(i, 1, f"red fox {i}") for i in range(5)] + [(i, 2, str(i)) for i in range(5)], "entity_id long, tag_id long, value string")
+    second = spark.createDataFrame([(i, 3, f"blue hen {i}") for i in range(10, 13)] + [(i, 4, str(i)) for i in range(10, 13)] + [(i, 1, str(i)) for i in range(10, 13)], "entity_id long, tag_id long, value string")
+    before = resolution.prepare(first, tokens=text.word_tokens)
+    after = resolution.prepare(second, before, tokens=text.word_tokens, token_cut=1.0)
+    assert {r.tag_id: r.type for r in after.types.collect()} == {1: "TEXT", 2: "REAL", 3: "TEXT", 4: "REAL"}
+    assert {r.tag_id for r in after.text.collect()} >= {3} and {r.tag_id for r in after.real.collect()} == {4}
