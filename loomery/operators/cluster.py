@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and all its work is done on this machine, as in tests.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder: a lost executor loses nothing, and plans stay short."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share: spark.checkpoint.dir, which only a local session may leave unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(folder or FALLBACK_SHARED_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(folder or FALLBACK_SHARED_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder: a lost executor loses nothing, and plans stay short."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

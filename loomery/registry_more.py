@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text
 from loomery.operators import relational
-from loomery.operators.cluster import written
+from loomery.operators.cluster import fresh_path, written
 from loomery.plans import jobs, learning, matching, resolution, serving
 from loomery.registry import (
     _attributes, _cells, _features, _fields, _grams_sql, _labelled_similarities, _mappings, _plain_scores, _prepared, _r, _suppliers, _table, _thresholds, _v0, register,
@@ -101,10 +101,7 @@ def catalog_columns(spark, sf):
 @register("saved_results", "SELECT field_id, global_id, round(score, 6) AS score FROM q_scores")
 def saved_results(spark, sf):
     """Results saved as a table by source, and read again."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/saved-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "saved")
     eav.save(matching.qgrams_scores(_fields(spark), _attributes(spark), _mappings(spark)), path, "source_id")
     return eav.read_any(spark, path).select("field_id", "global_id", _r("score"))
 
