@@ -29,6 +29,8 @@ from loomery.llm._common import bounded_labels, slices
 #: Bound of the rated sample.
 MAX_RATED = 5000
 BUCKET_BITS = 13
+#: Texts of a block of the fit.
+TEXTS = 256
 STEPS, RATE, RIDGE = 200, 0.05, 1e-5
 SCALE = 10.0
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, grade long, selected boolean"
@@ -64,35 +66,61 @@ class OrdinalModel:
         return _sigmoid(float(features(text) @ self.weights) - self.thresholds)
 
 
+class _Features:
+    """The features of texts that aren't 0, in blocks of TEXTS rows: the driver holds six bytes for each, not a dense matrix."""
+
+    def __init__(self, texts: list[str]):
+        self.size, self.rows = (1 << BUCKET_BITS) + 1, len(texts)
+        self.blocks = []
+        for lo in range(0, len(texts), TEXTS):
+            dense = np.stack([features(t) for t in texts[lo : lo + TEXTS]])
+            at, places = np.nonzero(dense)
+            self.blocks.append((np.bincount(at, minlength=len(dense)), places.astype(np.min_scalar_type(self.size)), dense[at, places]))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """For each row its product with the weights."""
+        out = np.zeros(self.rows, np.float32)
+        for lo, (counts, places, values) in zip(range(0, self.rows, TEXTS), self.blocks):
+            some = np.flatnonzero(counts)
+            if some.size:
+                out[lo + some] = np.add.reduceat(values * weights[places], (np.cumsum(counts) - counts)[some])
+        return out
+
+    def sums(self, shares: np.ndarray) -> np.ndarray:
+        """The sum of all rows times their shares."""
+        out = np.zeros(self.size)
+        for lo, (counts, places, values) in zip(range(0, self.rows, TEXTS), self.blocks):
+            out += np.bincount(places, values * np.repeat(shares[lo : lo + TEXTS], counts), self.size)
+        return out
+
+
 def fit(texts: list[str], ratings: list[int]) -> OrdinalModel:
     grades = sorted(set(ratings))
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros((1 << BUCKET_BITS) + 1, np.float32), np.zeros(0))
-    x = np.empty((len(texts), (1 << BUCKET_BITS) + 1), np.float32)  # the largest thing that the driver holds, so without a copy
-    for row, t in zip(x, texts):
-        row[:] = features(t)
+    x = _Features(texts)
     place = np.searchsorted(grades, ratings)
     k = len(grades) - 1
     at_most = np.clip([(place <= j).mean() for j in range(k)], 1e-4, 1 - 1e-4)
     cuts = np.log(at_most / (1 - at_most))
     # Parameters: weights, the first threshold, and logarithms of the steps to the others.
-    b = np.concatenate([np.zeros(x.shape[1]), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
-    m, v, size = np.zeros_like(b), np.zeros_like(b), x.shape[1]
-    rows = np.arange(len(x))
+    b = np.concatenate([np.zeros(x.size), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
+    m, v, size = np.zeros_like(b), np.zeros_like(b), x.size
+    rows = np.arange(x.rows)
     for step in range(1, STEPS + 1):
         steps = np.exp(b[size + 1 :])
         t = b[size] + np.concatenate([[0.0], np.cumsum(steps)])
-        below = _sigmoid(t[None, :] - (x @ b[:size].astype(np.float32))[:, None])  # P(grade <= j)
-        edges = np.concatenate([np.zeros((len(x), 1)), below, np.ones((len(x), 1))], axis=1)
+        below = _sigmoid(t[None, :] - x.times(b[:size].astype(np.float32))[:, None])  # P(grade <= j)
+        edges = np.concatenate([np.zeros((x.rows, 1)), below, np.ones((x.rows, 1))], axis=1)
         slope = edges * (1 - edges)
         p = np.maximum(edges[rows, place + 1] - edges[rows, place], 1e-9)
         upper, lower = slope[rows, place + 1] / p, slope[rows, place] / p
-        to_t = np.zeros((len(x), k + 2))
+        to_t = np.zeros((x.rows, k + 2))
         to_t[rows, place + 1] -= upper
         to_t[rows, place] += lower
         to_t = to_t[:, 1:-1].mean(axis=0)
         gradient = np.empty_like(b)
-        gradient[:size] = ((upper - lower).astype(np.float32) @ x) / len(x) + RIDGE * b[:size]
+        gradient[:size] = x.sums((upper - lower).astype(np.float32)) / x.rows + RIDGE * b[:size]
         gradient[size] = to_t.sum()
         gradient[size + 1 :] = np.cumsum(to_t[::-1])[::-1][1:] * steps
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
