@@ -33,8 +33,8 @@ from loomery.llm import _vectors
 PROJECTIONS, Z, DEVIATIONS = 128, 1.3, 1.0
 #: Least and largest growth of a window in a round; rows of a block to one in its first windows.
 GROWTH, DENSITY = (1.15, 8.0), 16
-#: Rows of a page of a sorted array, at whose borders windows end; queries that grow their windows in step.
-PAGE, STEP = 64, 128
+#: Pages of a sorted array at most, at whose borders windows end; queries that grow their windows in step.
+PAGES, STEP = 128, 128
 COLLIDES = math.erf(Z / math.sqrt(2))
 THRESHOLD = math.floor(PROJECTIONS * (COLLIDES - DEVIATIONS * math.sqrt(COLLIDES * (1 - COLLIDES) / PROJECTIONS)))
 SEED = 7
@@ -55,11 +55,12 @@ class CollisionIndex:
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected.T, order, axis=1))
         # For each array and each number of its first pages: the set of rows in these, as bits.
         n = len(vectors)
-        pages = -(-n // PAGE)
+        self.page = -(-n // PAGES)
+        pages = -(-n // self.page)
         self.first = np.zeros((PROJECTIONS, pages + 1, -(-n // 64)), np.uint64)
         for first, rows in zip(self.first, order):
             inside = np.zeros((pages + 1, first.shape[1] * 64), bool)
-            inside[np.arange(n) // PAGE + 1, rows] = True
+            inside[np.arange(n) // self.page + 1, rows] = True
             first[:] = np.bitwise_or.accumulate(np.packbits(inside, axis=1, bitorder="little").view(np.uint64), axis=0)
 
     def __call__(self, queries: np.ndarray, k: int, own: list[np.ndarray], least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,7 +87,7 @@ class CollisionIndex:
                 while going.size:  # these searches grow their windows in step
                     lo = np.stack([np.searchsorted(s, centres[going, j] - half[going], "left") for j, s in enumerate(self.sorted)])
                     hi = np.stack([np.searchsorted(s, centres[going, j] + half[going], "right") for j, s in enumerate(self.sorted)])
-                    planes = self._counts(lo // PAGE, -(-hi // PAGE))
+                    planes = self._counts(lo // self.page, -(-hi // self.page))
                     fresh = _at_least(planes, THRESHOLD) & ~seen[going]
                     seen[going] |= fresh
                     inside = np.unpackbits(fresh.view(np.uint8), axis=1, bitorder="little").view(bool)
