@@ -52,6 +52,14 @@ def test_numbered_and_sampling(spark):
     assert relational.sample_per(rows.withColumn("g", F.col("id") % 4), 3, ["g"], "id").count() == 12
 
 
+def test_numbered_takes_its_ranges_once(spark):
+    """More rows than a sample of range bounds takes; nulls come last."""
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("x"), F.when(F.col("id") % 1000 > 0, F.col("id") % 500).alias("y")).repartition(4)
+    got = relational.numbered(rows, ["y", "x"]).select("x", "y", "row_no").collect()
+    want = sorted(got, key=lambda r: (r.y is None, r.y or 0, r.x))
+    assert [r.row_no for r in want] == list(range(1, 60_001))
+
+
 def edges(spark, rows):
     return spark.createDataFrame(rows, "a long, b long")
 
