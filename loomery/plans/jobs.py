@@ -47,9 +47,11 @@ def dedup_all(cells: DataFrame, matches: DataFrame, weights: DataFrame | None =
     if weights is None:
         none = F.lit(False)
         weights = resolution.v0_initial_weights(cells.select("tag_id").distinct(), none if important is None else important, none if irrelevant is None else irrelevant, bias)
-    similarities = written(resolution.v0_field_similarities(resolution.v0_vectors(cells)), "similarities")
-    learned = written(resolution.v0_learn_weights(similarities, matches, weights), "weights")
-    return resolution.v0_similarities(similarities, learned, cells.select("entity_id", "tag_id")), learned
+    copies = resolution.v0_copies(cells)
+    scores = written(resolution.v0_class_similarities(cells, copies), "similarities")
+    learned = written(resolution.v0_learn_weights_of_copies(scores, copies, matches, weights), "weights")
+    sizes = cells.join(copies.where("entity_id = class_id").select("entity_id"), "entity_id", "left_semi").select("entity_id", "tag_id")
+    return resolution.v0_expand(written(resolution.v0_similarities(scores, learned, sizes), "class-similarities"), copies), learned
 
 
 def random_weight_search(raw: DataFrame, truth: DataFrame, tries: int = 20, seed: int = 0) -> DataFrame:
