@@ -333,3 +333,10 @@ def test_v0_expanded_classes_equal_all_pairs(spark):
     a = {r.tag_id: r.weight for r in resolution.v0_learn_weights(resolution.v0_field_similarities(resolution.v0_vectors(cells)), matches, start).collect()}
     b = {r.tag_id: r.weight for r in resolution.v0_learn_weights_of_copies(scores, copies, matches, start).collect()}
     assert a.keys() == b.keys() and all(close(a[k], b[k], 1e-9) for k in a)
+
+
+def test_dealt_join_spreads_one_key(spark):
+    rows = spark.range(300).select("id", F.lit(1).alias("k"))
+    met = relational.dealt_join(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), ["k"])
+    assert met.distinct().count() == met.count() == 90_000
+    assert met.select(F.spark_partition_id()).distinct().count() > 4
