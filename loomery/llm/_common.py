@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -54,7 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch in runs of rows that hold about SLICE_CHARS characters (one row at least), with its whole texts; null reads as empty."""
+    """Each batch in runs of rows that hold about SLICE_CHARS characters (one row at least), with its whole texts; null reads as empty. Ends with release()."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +68,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(lo, hi - lo)
             yield part, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give a process's free memory back to the system. Python workers stay between tasks, and what they keep counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
 
 
 def bounded_labels(labels: DataFrame, limit: int, columns: list[str], where=None) -> DataFrame:

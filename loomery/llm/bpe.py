@@ -15,13 +15,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomery.llm._common import slices
+from loomery.llm._common import release, slices
 
 #: Cells of a matrix of several rows, which bounds a worker's memory.
 MATRIX_CELLS = 2_000_000
@@ -200,10 +201,13 @@ class ByteBPE:
         of_cut, of_piece = self.of_cut, self.of_piece
         return {c: b"".join([of_cut[p[1:]] if p[0] == " " else of_piece[p] for p in pieces]) for c, pieces in found.items()}
 
+    def forget(self) -> None:
+        self.of_cut, self.of_piece = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.of_cut) + len(self.of_piece) > CACHE_ENTRIES:
-            self.of_cut, self.of_piece = {}, {}
+            self.forget()
         parts = [[t] if self.uncut(t) else t.split(" ") for t in texts]
         rest: set[str] = set()
         for p in parts:
@@ -231,13 +235,24 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return _codecs[path, pattern]
 
 
+@contextmanager
+def task_codec(path: str, pattern: str) -> Iterator[ByteBPE]:
+    """The worker's codec for one task, whose cache of texts ends with it: the worker goes on to tasks that encode nothing."""
+    own = codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.forget()
+        release()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and `ids`, binary: the ids of the whole text as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for part, texts in slices(batches):
-            yield pa.record_batch([part.column(0), pa.array(own.encode(texts), pa.binary())], ["doc_id", "ids"])
+        with task_codec(path, pattern) as own:
+            for part, texts in slices(batches):
+                yield pa.record_batch([part.column(0), pa.array(own.encode(texts), pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -259,19 +274,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode each whole text in one pass; digests of both, the bytes, and whether they are the text's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for part, texts in slices(batches):
-            counts, ids_hex, raw_hex, sizes, exact = [], [], [], [], []
-            for text, ids in zip(texts, own.encode(texts)):
-                raw = own.decode(np.frombuffer(ids, "<u4"))
-                counts.append(len(ids) // 4)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                raw_hex.append(hashlib.sha256(raw).hexdigest())
-                sizes.append(len(raw))
-                exact.append(raw == text.encode())
-            yield pa.record_batch(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(raw_hex), pa.array(sizes, pa.int64()), pa.array(exact)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact"],
-            )
+        with task_codec(path, pattern) as own:
+            for part, texts in slices(batches):
+                counts, ids_hex, raw_hex, sizes, exact = [], [], [], [], []
+                for text, ids in zip(texts, own.encode(texts)):
+                    raw = own.decode(np.frombuffer(ids, "<u4"))
+                    counts.append(len(ids) // 4)
+                    ids_hex.append(hashlib.sha256(ids).hexdigest())
+                    raw_hex.append(hashlib.sha256(raw).hexdigest())
+                    sizes.append(len(raw))
+                    exact.append(raw == text.encode())
+                yield pa.record_batch(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(raw_hex), pa.array(sizes, pa.int64()), pa.array(exact)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "exact"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

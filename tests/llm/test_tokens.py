@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,20 @@ def test_bpe_of_long_pretokens(reference):
         assert np.frombuffer(own.encode([long])[0], "<u4").tolist() == reference.encode_ordinary(long)
 
 
+def test_bpe_cache_ends_with_its_task(spark, docs):
+    """Workers stay for the tasks that follow, which may encode nothing."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert bpe.round_trip(docs, path, P.PATTERN).where("n_tokens > 0").count() > 0
+    assert bpe.encode_documents(docs, path, P.PATTERN).where("length(ids) > 0").count() > 0
+
+    def held(batches):
+        for batch in batches:
+            kept = sum(len(c.of_cut) + len(c.of_piece) for c in bpe._codecs.values())
+            yield pa.record_batch([pa.array([kept])], ["kept"])
+
+    assert {r.kept for r in spark.range(0, 64, 1, 8).mapInArrow(held, "kept long").collect()} == {0}
+
+
 def test_word_encoder_equals_the_library():
     """Added tokens in any case and place, letters whose small form is longer, combining marks, and every plain mark."""
     from tokenizers import Tokenizer
