@@ -340,3 +340,24 @@ def test_dealt_join_spreads_one_key(spark):
     met = relational.dealt_join(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), ["k"])
     assert met.distinct().count() == met.count() == 90_000
     assert met.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_pairs_of_each_way_in_one_pass(spark, monkeypatch):
+    """As each way by itself, over ties, nulls and labels, with and without bounds; only few of all pairs are ordered."""
+    kept = {}
+    write = serving.written
+    monkeypatch.setattr(serving, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    hows = ["random", "similar", "near", "priority"]
+    a, b = F.col("entity_a"), F.col("entity_b")
+    pairs = spark.range(40_000).select((F.col("id") % 200).alias("entity_a"), F.floor(F.col("id") / 200).alias("entity_b")).where("entity_a < entity_b")
+    pairs = pairs.select(a, b, F.when((a + b) % 50 > 0, F.round((a * b % 97) / 97, 2)).alias("similarity"), F.when(a % 9 != 1, (a * 7 + b) % 11).alias("priority"))
+    labelled = pairs.withColumn("human_label", F.when(a == 3, "Yes"))
+    odd = spark.createDataFrame([(1, 2, float("nan"), 1), (1, 3, None, None), (2, 3, 0.5, 0), (2, 4, 0.5, 0)], pairs.schema)
+    for rows, n, part in ((pairs, 4, 8), (pairs, 4, 10**6), (labelled, 7, 8), (labelled.limit(0), 2, 8), (odd, 3, 1), (odd, 4, 1), (odd, 9, 1)):
+        monkeypatch.setattr(serving, "PART", part)
+        kept.clear()
+        got = serving.pairs_to_compare_each(rows, hows, n, 0.5, above=F.col("similarity") + 0.01).collect()
+        want = [(how, *r) for how in hows for r in serving.pairs_to_compare(rows, how, n, 0.5).collect()]
+        assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+        if rows is pairs and part == 8:
+            assert 0 < kept["few"].count() < pairs.count() / 5
