@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm._common import bounded_labels, materialize
+from loomery.llm._common import bounded_labels, materialize, release
 
 #: Bounds of the labelled sample and of the hashed words.
 MAX_LABELLED, BUCKETS = 10000, 1 << 16
@@ -92,6 +92,8 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS)) -
     in_domains = [F.count_if(F.col("domain") == j).alias(f"c{j}") for j in range(k)]
     counts = held.where("NOT apart").select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*in_domains).collect()  # at most BUCKETS rows
     model = DomainModel(priors, weights_of([(r.bucket, [r[f"c{j}"] for j in range(k)]) for r in counts], k))
+    del counts
+    release()
     scored = held.where("apart").select("domain", *[x.alias(f"s{j}") for j, x in enumerate(model.sums(F.col("buckets")))])
     losses = scored.agg(*[F.sum(_loss(priors, t)) for t in TEMPERATURES]).first()
     if losses[0] is not None:

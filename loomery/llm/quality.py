@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm._common import bounded_labels, slices
+from loomery.llm._common import bounded_labels, release, slices
 
 #: Bound of the rated sample.
 MAX_RATED = 5000
@@ -139,7 +139,10 @@ def learn_ratings(docs: DataFrame, labels: DataFrame, rating: str = "quality") -
     rated = bounded_labels(labels, MAX_RATED, [rating])  # at most MAX_RATED rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rated), "doc_id")
     sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(rating).alias("rating")).orderBy(F.xxhash64("doc_id")).collect()
-    return fit([r.text for r in sample], [int(r.rating) for r in sample])
+    model = fit([r.text for r in sample], [int(r.rating) for r in sample])
+    del sample
+    release()
+    return model
 
 
 def rate_documents(docs: DataFrame, model: OrdinalModel, least: int | None = None, probability: float = 0.5) -> DataFrame:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm._common import bounded_labels, slices
+from loomery.llm._common import bounded_labels, release, slices
 
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_ORDINARY = 2000, 3000
@@ -210,7 +210,10 @@ def learn_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     language = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     texts = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), language.alias("lang")).alias("row")).join(F.broadcast(chosen), "doc_id")
     sample = texts.groupBy("doc_id").agg(F.min("row").alias("row"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).collect()
-    return fit([r.row.text for r in sample], [int(r.toxic > 0) for r in sample], (n_toxic or 0) / n if n else 0.0, [r.row.lang for r in sample])
+    model = fit([r.row.text for r in sample], [int(r.toxic > 0) for r in sample], (n_toxic or 0) / n if n else 0.0, [r.row.lang for r in sample])
+    del sample
+    release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
