@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions import text
+from loomery.operators import blocks
 from loomery.operators.cluster import written
 from loomery.plans import matching, resolution
 
@@ -42,11 +43,20 @@ def schema_map(fields: DataFrame, cells: DataFrame, dictionary: DataFrame, attri
     return {"raw": raw, "ncomp": matching.ncomp(raw, methods), "mcomp": matching.mcomp(raw, methods), "best": matching.ncomp_max(raw, methods)}
 
 
-def dedup_all(cells: DataFrame, matches: DataFrame, weights: DataFrame | None = None, important: Column | None = None, irrelevant: Column | None = None, bias: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Similarities of all pairs that share an attribute's grams, and the weights learned from the known matches; without weights, they start from the attributes' importance."""
+def dedup_all(cells: DataFrame, matches: DataFrame, weights: DataFrame | None = None, important: Column | None = None, irrelevant: Column | None = None, bias: float = 1.0, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Similarities of all pairs that share an attribute's grams, and the weights learned from the known matches; without weights, they start from the attributes' importance.
+
+    matches: pairs (entity_a, entity_b), or the groups whose members match one another (entity_id, group: array of whole numbers that have to agree), of which
+    no pairs are built. Groups also take tables whose values nearly all differ; digits rounds what they give.
+    """
     if weights is None:
         none = F.lit(False)
         weights = resolution.v0_initial_weights(cells.select("tag_id").distinct(), none if important is None else important, none if irrelevant is None else irrelevant, bias)
+    if "group" in matches.columns:
+        found = blocks.blocks(resolution.v0_vectors(cells), cells, matches)
+        learned = written(resolution.v0_learn_weights_of_averages(blocks.group_averages(found), weights), "weights")
+        known = {r.tag_id: r.weight for r in learned.collect()}  # a row per attribute
+        return blocks.all_pairs(found, known, "larger", digits).withColumnRenamed("score", "similarity"), learned
     copies = resolution.v0_copies(cells)
     scores = written(resolution.v0_class_similarities(cells, copies), "similarities")
     learned = written(resolution.v0_learn_weights_of_copies(scores, copies, matches, weights), "weights")
